@@ -29,5 +29,6 @@ def load_all() -> None:
         q_features,
         q_incidents,
         q_ingest,
+        q_policy,
         q_search,
     )
