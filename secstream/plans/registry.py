@@ -31,4 +31,5 @@ def load_all() -> None:
         q_ingest,
         q_policy,
         q_search,
+        q_similarity,
     )
