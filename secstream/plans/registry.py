@@ -26,6 +26,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers query keys."""
     from . import (  # noqa: F401
+        q_context,
         q_features,
         q_incidents,
         q_ingest,
