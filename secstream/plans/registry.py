@@ -33,4 +33,5 @@ def load_all() -> None:
         q_policy,
         q_search,
         q_similarity,
+        q_triage,
     )
