@@ -30,8 +30,13 @@ def _long(c: Column) -> Column:
 
 
 def parse_documents(df: DataFrame) -> DataFrame:
-    """(…, source_file, log_type, raw) -> parsed documents (only known types)."""
-    known, _ = split_known(df)
+    """(…, source_file, log_type, raw) -> parsed documents (only known types).
+
+    The router emits zero or one document per row through ``inline`` (a
+    flat-map), not a ``Filter``: a filter on the routed type would be pushed
+    below the decoding projection and repeat the whole JSON decode inside
+    the predicate."""
+    known = df
     r = lambda name: F.col(f"raw.{name}")
     dns = F.col("log_type") == "dns"
     kern = F.col("log_type") == "deep_kernel"
@@ -63,8 +68,8 @@ def parse_documents(df: DataFrame) -> DataFrame:
         F.coalesce(r("evil").cast("int"), F.lit(0)).alias("evil"),
     )
     extra = [c for c in known.columns if c not in ("source_file", "log_type", "raw")]
-    return known.select(
-        *extra,
+    doc = F.struct(
+        *[F.col(c) for c in extra],
         F.coalesce(F.col("source_file"), F.lit("unknown")).alias("source_file"),
         F.col("log_type"),
         F.when(dns, F.coalesce(r("DnsTimestamp"), F.lit(""))).otherwise(F.coalesce(r("timestamp"), F.lit("")))
@@ -76,3 +81,6 @@ def parse_documents(df: DataFrame) -> DataFrame:
         attributes.alias("attributes"),
         labels.alias("labels"),
     )
+    is_known = F.coalesce(F.col("log_type").isin(*KNOWN_LOG_TYPES), F.lit(False))
+    return known.select(F.inline(F.when(is_known, F.array(doc)).otherwise(F.array().cast(
+        known.select(F.array(doc)).schema[0].dataType))))

@@ -16,9 +16,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Scan one table; a column list is applied right at the scan (ReadSchema)."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread: bool = True) -> DataFrame:
+    """Scan one table; a column list is applied right at the scan (ReadSchema).
+
+    ``spread``: when the scan yields fewer splits than the cluster has task
+    slots (a small table stored as one row group), the rows are spread
+    round-robin over ``defaultParallelism`` tasks so the per-row work
+    downstream uses every core. A large table already has at least that many
+    splits, so no shuffle is added where the data is big.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    if spread:
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots)
+    return df
