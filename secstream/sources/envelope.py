@@ -55,6 +55,17 @@ def clean_number(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(c)
 
 
+def python_number_text(text: Column) -> Column:
+    """A JSON number read into a string field comes back in Java notation
+    (``1.621184E9``); the reference stringifies the parsed float the Python
+    way (``1621184000.0``). Integral values below 1e16 are rewritten so;
+    other text is left as is."""
+    javaish = text.rlike(r"^-?[0-9]+(\.[0-9]+)?E-?[0-9]+$")
+    d = text.try_cast("double")
+    integral = d.isNotNull() & (d == F.floor(d)) & (F.abs(d) < F.lit(1e16))
+    return F.when(javaish & integral, F.concat(F.floor(d).cast("bigint").cast("string"), F.lit(".0"))).otherwise(text)
+
+
 def decode(messages: DataFrame, value_col: str = "value") -> DataFrame:
     """JSON messages -> (source_file, log_type, raw) with numbers cleaned."""
     parsed = messages.withColumn("_env", F.from_json(F.col(value_col).cast("string"), ENVELOPE_SCHEMA,
@@ -63,7 +74,11 @@ def decode(messages: DataFrame, value_col: str = "value") -> DataFrame:
     raw_fields = []
     for f in RAW_SCHEMA.fields:
         c = F.col(f"_raw.{f.name}")
-        raw_fields.append((clean_number(c) if isinstance(f.dataType, T.DoubleType) else c).alias(f.name))
+        if isinstance(f.dataType, T.DoubleType):
+            c = clean_number(c)
+        elif f.name == "timestamp":
+            c = python_number_text(c)
+        raw_fields.append(c.alias(f.name))
     keep = [c for c in messages.columns if c not in (value_col, "key")]
     return parsed.select(
         *keep,
