@@ -33,5 +33,6 @@ def load_all() -> None:
         q_policy,
         q_search,
         q_similarity,
+        q_streaming,
         q_triage,
     )
