@@ -27,6 +27,7 @@ def load_all() -> None:
     """Import every module that registers query keys."""
     from . import (  # noqa: F401
         q_context,
+        q_detections,
         q_features,
         q_incidents,
         q_ingest,
