@@ -219,3 +219,31 @@ def ml_auc(spark, sf_dir):
     a = TR.roc_auc(_scored(spark, sf_dir), "score", "evil")
     return a.select(F.round("roc_auc", 6).alias("roc_auc"), F.col("positives").cast("bigint").alias("positives"),
                     F.col("negatives").cast("bigint").alias("negatives"))
+
+
+def _splits(spark, sf_dir):
+    frame = ml_frame_df(spark, sf_dir)
+    return TR.stratified_split(frame, "doc_id", ["sus", "evil"]).persist()
+
+
+@register("ml_score")
+def ml_score(spark, sf_dir):
+    """M7 + M9 + M14: train the evil model (GBT, class weight, early stopping
+    on the validation split), pick the max-F1 threshold on validation, score
+    the test split (rows-only: model output is not SQL)."""
+    from ..operators import models as MD
+    s = _splits(spark, sf_dir)
+    tr, va, te = (s.filter(F.col("split") == x) for x in ("train", "val", "test"))
+    model = MD.train(tr, va, "evil", MD.EVIL_PARAMS, max_rounds=60)
+    val_scored = MD.positive_probability(model, va, "p")
+    thr = TR.threshold_max_f1(TR.pr_curve(val_scored, "p", "evil")).first()["threshold"]
+    out = MD.score(model, te, float(thr), "evil")
+    return out.select("doc_id", "evil", "evil_probability", "evil_flag", "evil_threshold")
+
+
+@register("ml_search")
+def ml_search(spark, sf_dir):
+    """M13 + S19: random search of 4 parameter sets, evaluated in parallel (rows-only)."""
+    from ..operators import models as MD
+    s = _splits(spark, sf_dir)
+    return MD.random_search(s.filter(F.col("split") == "train"), "evil", trials=4, max_rounds=20)
