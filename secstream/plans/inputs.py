@@ -10,10 +10,19 @@ from ..sources.tables import read_table
 from .sql_events import ENRICHED_COLUMNS
 
 
+_PLANS: dict[tuple[int, str], DataFrame] = {}
+
+
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested enriched documents derived from the ``events`` table (no JSON
-    round trip: in production this is the table the ingest job writes)."""
-    return enrich(raw_events(read_table(spark, sf_dir, "events")))
+    round trip: in production this is the table the ingest job writes).
+
+    The DataFrame (a plan, not data) is memoised per session and directory,
+    so keys built on it reuse the already analysed plan."""
+    key = (id(spark), sf_dir)
+    if key not in _PLANS:
+        _PLANS[key] = enrich(raw_events(read_table(spark, sf_dir, "events")))
+    return _PLANS[key]
 
 
 def flat_event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
