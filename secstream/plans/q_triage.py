@@ -255,3 +255,15 @@ def ml_search(spark, sf_dir):
     from ..operators import models as MD
     s = _splits(spark, sf_dir)
     return MD.random_search(s.filter(F.col("split") == "train"), "evil", trials=4, max_rounds=20)
+
+
+@register("ml_smote")
+def ml_smote(spark, sf_dir):
+    """M4 + M5: undersampled training split oversampled by Borderline-SMOTE
+    (borderline-2) to 1:1 (rows-only; invariants tested)."""
+    from ..operators.models import FEATURE_COLS
+    from ..operators.oversample import borderline_smote
+    s = _splits(spark, sf_dir).filter(F.col("split") == "train")
+    under = TR.undersample(s, "doc_id", "evil")
+    out = borderline_smote(under, "doc_id", "evil", list(FEATURE_COLS))
+    return out.select("doc_id", "evil", "synthetic", *FEATURE_COLS)

@@ -64,3 +64,23 @@ def test_split_and_undersample(spark):
     assert (under.evil == 1).sum() == 100 and (under.evil == 0).sum() == 500
     bal = TR.class_balance(df, "evil").first()
     assert bal["scale_pos_weight"] == 9.0
+
+
+def test_borderline_smote_invariants(spark):
+    from secstream.operators.oversample import BINARY_FEATURES, borderline_smote
+    rng = np.random.default_rng(5)
+    n = 240
+    x1 = rng.normal(size=n)
+    y = ((x1 + rng.normal(scale=0.8, size=n)) > 1.2).astype(int)
+    pdf = pd.DataFrame({"id": range(n), "y": y, "x1": x1, "feat_is_root_user": rng.integers(0, 2, n).astype(float)})
+    df = spark.createDataFrame(pdf)
+    out = borderline_smote(df, "id", "y", ["x1", "feat_is_root_user"]).toPandas()
+    real, synth = out[~out.synthetic], out[out.synthetic]
+    assert len(real) == n
+    if len(synth):
+        assert (out.y == 1).sum() == (out.y == 0).sum()
+        assert set(synth["feat_is_root_user"].unique()) <= {0.0, 1.0}
+        assert synth.x1.between(pdf.x1.min(), pdf.x1.max()).all()
+    again = borderline_smote(df, "id", "y", ["x1", "feat_is_root_user"]).toPandas()
+    assert sorted(again[again.synthetic].x1.round(12)) == sorted(synth.x1.round(12))
+    assert "feat_is_root_user" in BINARY_FEATURES
