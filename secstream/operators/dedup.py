@@ -1,5 +1,10 @@
 """Last row per id, and a replay-safe upsert into a parquet table.
 
+The upsert rewrites only the id-prefix partitions a batch touches. Its write
+amplification is (touched partitions) / (all partitions): choose the prefix
+length so that a micro-batch touches few of them, or use a table format's
+``MERGE INTO`` where one is installed.
+
 ``latest_per_key`` is a hash aggregate (``max_by`` over the ordering
 column), so duplicates collapse with a map-side partial aggregate before the
 shuffle; a key that is re-delivered many times costs one partial row per map
@@ -23,72 +28,68 @@ def latest_per_key(df: DataFrame, key: str, order: str, count_as: str | None = N
     return out
 
 
+def _hadoop(spark, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+
+
+def id_bucket(key: str, prefix_chars: int = 2):
+    """Partition column of the upserted table: the first hex characters of the
+    (md5) id, i.e. 16**prefix_chars partitions with evenly spread keys. The
+    value carries a letter so partition discovery never reads it as a number."""
+    return F.concat(F.lit("p"), F.substring(F.col(key).cast("string"), 1, prefix_chars))
+
+
 def upsert_parquet(spark, updates: DataFrame, target_path: str, key: str, order: str,
-                   partition_col: str | None = None, batch_id: int | None = None) -> None:
-    """Merge ``updates`` into the parquet table at ``target_path``.
-
-    Rows of the target whose key occurs in the batch are replaced (anti join +
-    union), the result is written to a new version directory and the
-    ``_CURRENT`` pointer file is switched last, so a failed or replayed batch
-    never leaves a half-written table. Replaying the same ``batch_id`` is a
-    no-op. Keys are hash-partitioned so the anti join is a co-partitioned
-    shuffle join; ``partition_col`` (e.g. an id prefix) limits the rewrite
-    to touched partitions on a real table format.
+                   batch_id: int | None = None, prefix_chars: int = 2) -> None:
+    """Merge ``updates`` into the parquet table at ``target_path``,
+    partitioned by an id prefix (``id_bucket``).
+
+    Only the partitions the batch touches are read, merged (anti join of the
+    old rows on the batch keys + the batch's last row per key) and rewritten
+    with dynamic partition overwrite; the others are not read or written. The
+    merged partitions are staged first (a table cannot be overwritten while
+    it is being read). Replaying a batch is a no-op: a marker per ``batch_id``
+    is written last, and a replay after a crash before the marker recomputes
+    the same partitions (the anti join drops the batch's own earlier copy).
     """
     import os
 
-    batch = latest_per_key(updates, key, order)
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target_path)
-    fs = root.getFileSystem(hconf)
-    pointer = jvm.org.apache.hadoop.fs.Path(os.path.join(target_path, "_CURRENT"))
-
-    def read_pointer() -> str | None:
-        if not fs.exists(pointer):
-            return None
-        stream = fs.open(pointer)
-        try:
-            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream))
-            return reader.readLine()
-        finally:
-            stream.close()
-
-    current = read_pointer()
-    version = 0 if current is None else int(current.rsplit("v", 1)[-1]) + 1
-    if batch_id is not None and current is not None:
-        marker = jvm.org.apache.hadoop.fs.Path(os.path.join(target_path, current, f"_batch_{batch_id}"))
+    fs, root, jvm = _hadoop(spark, target_path)
+    marker = None
+    if batch_id is not None:
+        marker = jvm.org.apache.hadoop.fs.Path(os.path.join(target_path, "_batches", f"batch_{batch_id}"))
         if fs.exists(marker):
             return
-    if current is None:
-        merged = batch
-    else:
-        existing = spark.read.parquet(os.path.join(target_path, current))
+    if updates.isEmpty():
+        if marker is not None:
+            fs.create(marker).close()
+        return
+    batch = latest_per_key(updates, key, order).withColumn("id_bucket", id_bucket(key, prefix_chars))
+    has_table = fs.exists(root) and any(
+        not st.getPath().getName().startswith(("_", ".")) for st in fs.listStatus(root))
+    if has_table:
+        touched = batch.select("id_bucket").distinct()
+        existing = spark.read.parquet(target_path).join(F.broadcast(touched), "id_bucket", "left_semi")
         kept = existing.join(batch.select(key), key, "left_anti")
         merged = kept.unionByName(batch, allowMissingColumns=True)
-    new_dir = f"v{version}"
-    writer = merged.repartition(key).write.mode("overwrite")
-    if partition_col:
-        writer = writer.partitionBy(partition_col)
-    writer.parquet(os.path.join(target_path, new_dir))
-    if batch_id is not None:
-        fs.create(jvm.org.apache.hadoop.fs.Path(os.path.join(target_path, new_dir, f"_batch_{batch_id}"))).close()
-    out = fs.create(pointer, True)
+    else:
+        merged = batch
+    tag = batch_id if batch_id is not None else "adhoc"
+    staging = os.path.join(target_path, "_staging", f"batch_{tag}")
+    merged.repartition("id_bucket").write.mode("overwrite").partitionBy("id_bucket").parquet(staging)
+    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        out.write(bytearray(new_dir.encode()))
+        spark.read.parquet(staging).write.mode("overwrite").partitionBy("id_bucket").parquet(target_path)
     finally:
-        out.close()
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    fs.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+    if marker is not None:
+        fs.create(marker).close()
 
 
 def read_upserted(spark, target_path: str) -> DataFrame:
-    import os
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm = spark.sparkContext._jvm
-    pointer = jvm.org.apache.hadoop.fs.Path(os.path.join(target_path, "_CURRENT"))
-    fs = pointer.getFileSystem(hconf)
-    stream = fs.open(pointer)
-    try:
-        current = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream)).readLine()
-    finally:
-        stream.close()
-    return spark.read.parquet(os.path.join(target_path, current))
+    """The current table (hidden ``_staging``/``_batches`` folders are skipped)."""
+    return spark.read.parquet(target_path).drop("id_bucket")
