@@ -169,3 +169,29 @@ def recent_changes(incidents: DataFrame, changes: DataFrame, key: str, hours: in
         F.col("ch_ts").between(F.col("inc_ts") - F.make_interval(hours=F.lit(hours)), F.col("inc_ts")))
     return j.select("incident_id", "change_id", key,
                     F.round((F.unix_micros("inc_ts") - F.unix_micros("ch_ts")) / 6e7, 3).alias("minutes_before"))
+
+
+def span_breakdown(parents: DataFrame, children: DataFrame, key: str, duration: str) -> DataFrame:
+    """Self time of each parent span = its duration minus the summed
+    durations of its child spans. The children are aggregated by parent key
+    first (partial aggregation), then joined: no per-parent collect."""
+    c = children.groupBy(key).agg(F.count(F.lit(1)).alias("children"), F.sum(duration).alias("child_time"))
+    j = parents.join(c, key, "left")
+    return j.select(key, F.col(duration).alias("duration"), F.coalesce("children", F.lit(0)).alias("children"),
+                    F.coalesce("child_time", F.lit(0.0)).alias("child_time"),
+                    (F.col(duration) - F.coalesce("child_time", F.lit(0.0))).alias("self_time"))
+
+
+def leakage_classifier(texts: DataFrame, text_col: str, label_col: str, dim: int = 1 << 12, seed: int = 42):
+    """A text classifier for prompt leakage: tokens + hashed term
+    frequencies + logistic regression (MLlib, distributed training).
+    Returns the fitted pipeline model."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    pipe = Pipeline(stages=[
+        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\s+", toLowercase=True),
+        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
+        LogisticRegression(featuresCol="_tf", labelCol=label_col, maxIter=50, regParam=0.01),
+    ])
+    return pipe.fit(texts)

@@ -228,3 +228,40 @@ def rerank(spark, sf_dir):
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("neighbor_id"))
     out = top.withColumn("rerank_score", score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 5)
     return out.select("query_id", "neighbor_id", F.col("rank").cast("int").alias("rank"), "rerank_score")
+
+
+@register("span_breakdown", """
+SELECT o.o_orderkey, round(o.o_totalprice, 6) AS duration, coalesce(c.children, 0) AS children,
+  round(coalesce(c.child_time, 0.0), 6) AS child_time, round(o.o_totalprice - coalesce(c.child_time, 0.0), 6) AS self_time
+FROM orders o LEFT JOIN (
+  SELECT l_orderkey, count(*) AS children, sum(l_extendedprice * (1 - l_discount)) AS child_time
+  FROM lineitem GROUP BY l_orderkey) c ON o.o_orderkey = c.l_orderkey""")
+def span_breakdown(spark, sf_dir):
+    """Orders as parent spans (duration = total price), their line items
+    as child spans (duration = discounted price); self time per parent."""
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice").withColumnRenamed(
+        "o_totalprice", "d")
+    items = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_extendedprice", "l_discount").select(
+        F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("d"))
+    out = D.span_breakdown(orders, items, "o_orderkey", "d")
+    return out.select("o_orderkey", F.round("duration", 6).alias("duration"),
+                      F.col("children").cast("bigint").alias("children"),
+                      F.round("child_time", 6).alias("child_time"), F.round("self_time", 6).alias("self_time"))
+
+
+@register("leakage_classifier")
+def leakage_classifier(spark, sf_dir):
+    """Logistic regression on hashed tokens of conversation turns, labelled
+    by the PII/secret scan (a learned leakage detector); scores every turn
+    (rows-only)."""
+    from pyspark.ml.functions import vector_to_array
+
+    from ..functions import pii
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    train = conv.select("text").unionByName(docs.select("text")).withColumn(
+        "leak", (~pii.is_clean(F.col("text"))).cast("double"))
+    model = D.leakage_classifier(train, "text", "leak")
+    scored = model.transform(conv.withColumn("leak", (~pii.is_clean(F.col("text"))).cast("double")))
+    return scored.select("conv_id", "turn", "leak",
+                         F.round(vector_to_array("probability")[1], 4).alias("leak_probability"))

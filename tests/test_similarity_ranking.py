@@ -41,3 +41,18 @@ def test_exact_rank_and_running_sums(spark):
     assert len(m) == 500 and (m["rank"] == m["rank_w"]).all()
     c = running_sums(df, [F.col("k").desc()], ["v"], num_partitions=5).toPandas().sort_values("k", ascending=False)
     assert (c["v_cum"].to_numpy() == pdf.sort_values("k", ascending=False)["v"].cumsum().to_numpy()).all()
+
+
+def test_topk_plan_has_no_pairwise_join(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)], "id long, embedding array<double>")
+    out = top_k_similar(df, df, 3, "id", "id", "embedding", exclude_self=True, rows_per_block=10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    assert "FlatMapCoGroupsInPandas" in plan
+
+
+def test_exact_rank_plan_has_no_single_partition_window(spark):
+    df = spark.range(100).withColumn("g", F.col("id") % 2)
+    plan = exact_rank(df, ["g"], ["id"], "r")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan.lower()
