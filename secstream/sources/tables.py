@@ -31,7 +31,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, sprea
     if columns:
         df = df.select(*columns)
     if spread:
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
+        try:
+            slots = spark.sparkContext.defaultParallelism
+            splits = df.rdd.getNumPartitions()
+        except Exception:  # noqa: BLE001 - e.g. a Connect session without RDD access: keep the scan as is
+            return df
+        if splits < slots:
             df = df.repartition(slots)
     return df
