@@ -94,7 +94,7 @@ def fold_system(messages: DataFrame, request_col: str = "conv_id", order_col: st
 
 def decide(requests: DataFrame, messages: DataFrame, request_col: str = "conv_id",
            caller_col: str = "caller_id", time_col: str = "request_ts", rate_per_minute: float = 60.0,
-           burst: float = 10.0, model: str = "gemini-1.5-flash") -> DataFrame:
+           burst: float = 10.0, model: str = "chat-model") -> DataFrame:
     """G-3: per request, in the reference's order: validation (422), rate
     limit (429, not audited), PII scan of the joined text (422, audited),
     else forwardable. ``requests`` holds (request, caller, time)."""

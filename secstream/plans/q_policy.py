@@ -225,7 +225,7 @@ def gateway_decisions(spark, sf_dir):
 
 
 _AUDIT_SELECT = """
-SELECT strftime(request_ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, caller_id, 'gemini-1.5-flash' AS model,
+SELECT strftime(request_ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_utc, caller_id, 'chat-model' AS model,
   CAST(CASE WHEN decision = 'blocked_pii' THEN 0 ELSE prompt_tokens END AS INTEGER) AS prompt_tokens,
   0 AS response_tokens, 0 AS latency_ms, decision = 'blocked_pii' AS blocked_pii,
   CASE WHEN decision = 'blocked_pii' THEN pii_types ELSE '' END AS pii_types,
