@@ -80,3 +80,17 @@ def test_recent_flagged_oldest_first(docs):
     assert times == sorted(times) and len(out) <= 5
     with pytest.raises(ValueError):
         S.recent_flagged(docs, "2024-01-15T12:00:00Z", 60, min_sus=False, min_evil=False)
+
+
+def test_forensics_prunes_date_partitions(spark, docs):
+    import os
+    import uuid
+
+    from secstream.operators.detections import cold_store_write, forensics
+    from secstream.session import checkpoint_dir
+    path = os.path.join(checkpoint_dir(spark), f"cold-test-{uuid.uuid4().hex[:6]}")
+    cold_store_write(docs, path)
+    out = forensics(spark, path, "2024-01-20T00:00:00Z", 7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan and "make_date" in plan
+    assert all(r["event_name"] == "execve" and r["attributes"]["user_id"] == 0 for r in out.collect())
