@@ -1,16 +1,19 @@
 """Toxicity by multiple-instance learning.
 
 A text is a bag of sentences (cut after words that end in ``.``, ``!`` or
-``?`` and at line ends). A sentence's score is the logistic function of the
-summed weights of its distinct known words, and the text's score is the noisy-or of its
-sentences, ``1 - prod(1 - p)``. Only text labels are known: weights start from
-smoothed log-odds and are trained by the gradient of the noisy-or likelihood
-(Adagrad, with weights shrunk towards 0), so blame moves to the sentences that explain a label.
-Sentences that reach the threshold are located by their place in the text.
-
-The model is fitted on at most ``SAMPLE_ROWS`` labelled texts; words seen in
-fewer than ``LEAST_TEXTS`` of them are unknown. Words are compared by the 64-bit
-hash of their lower-cased form without marks at either end.
+``?`` and at line ends). A word's weight is the sum of the weights of its
+features: the word itself and its first 4 to 7 letters, lower-cased, without
+marks at either end. A sentence's score is the logistic function of the summed
+weights of its words (a word that repeats the one before counts once), and the
+text's score is the noisy-or of its sentences, ``1 - prod(1 - p)``. Only text
+labels are known: weights start from smoothed log-odds and are trained by the
+gradient of the noisy-or likelihood (Adagrad, with weights shrunk towards 0),
+so blame moves to the sentences that explain a label. Sentences that reach the
+threshold are located by their place in the text.
+
+The model is fitted on at most ``SAMPLE_ROWS`` labelled texts; features of
+fewer than ``LEAST_TEXTS`` of them are unknown. Features are compared by 64-bit
+hashes.
 
 Defined cases: a null or empty text has no sentence; its score is that of one
 sentence without known words. Without any labelled sample every score is that
@@ -34,66 +37,84 @@ from .common import hash_words, labelled_sample, segment_sums, split_words, text
 SAMPLE_ROWS = 6_000
 LEAST_TEXTS = 3
 START_BIAS = -6.0
-EPOCHS = 80
-RATE = 0.3
-SHRINK = 2e-3
+START = 0.3
+EPOCHS = 60
+RATE = 0.2
+SHRINK = 0.3
+PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.5
 MARKS = ".,;:!?\"'()[]{}<>#$%&*+-/=@\\^_`|~"
 
 
 @dataclass
 class Bags:
-    """Words (hashes) of sentences of texts: words[word_bounds[s]:...], sentences sentence_bounds[t]:..."""
+    """Words of sentences of texts, as numbers into ``features``.
+
+    Sentence ``s`` holds ``codes[word_bounds[s]:word_bounds[s + 1]]``, text ``t``
+    the sentences ``sentence_bounds[t]`` to ``sentence_bounds[t + 1]``; ``places``
+    is the number of a sentence's first word in its text.
+    """
 
-    words: np.ndarray
+    features: np.ndarray
+    codes: np.ndarray
     word_bounds: np.ndarray
     sentence_bounds: np.ndarray
     places: np.ndarray
 
 
-def read_bags(texts: pa.Array) -> Bags:
-    """Sentences of every text, each with its distinct words; ``places`` is a sentence's first word number."""
-    marked = pc.replace_substring(pc.fill_null(texts, ""), "\n", " .\n")
-    words, codes, bounds = split_words(marked)
+def word_features(words: pa.Array) -> np.ndarray:
+    """Hashes of every word's features (words x kinds); 0 where there is none."""
     bare = pc.utf8_trim(pc.utf8_lower(words), MARKS)
-    hashes = hash_words(bare)
-    hashes[pc.equal(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False)] = 0
-    ends = np.zeros(len(words) + 1, bool)
-    for mark in ".!?":
-        ends[:-1] |= pc.ends_with(words, mark).to_numpy(zero_copy_only=False)
+    length = pc.utf8_length(bare).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(words), 1 + len(PREFIXES)), np.uint64)
+    out[:, 0] = np.where(length > 0, hash_words(bare), 0)
+    for i, n in enumerate(PREFIXES, 1):
+        long = length > n
+        if long.any():
+            prefix = pc.utf8_slice_codeunits(bare.filter(pa.array(long)), 0, n).dictionary_encode()
+            out[long, i] = hash_words(prefix.dictionary, n)[prefix.indices.to_numpy(zero_copy_only=False)]
+    return out
+
+
+def read_bags(texts: pa.Array) -> Bags:
+    """Sentences of every text."""
+    words, codes, bounds = split_words(pc.replace_substring(pc.fill_null(texts, ""), "\n", " .\n"))
     if not len(codes):
-        return Bags(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64))
+        return Bags(np.zeros((0, 1 + len(PREFIXES)), np.uint64), codes, np.zeros(1, np.int64),
+                    np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64))
+    ends = np.zeros(len(words), bool)
+    for mark in ".!?":
+        ends |= pc.ends_with(words, mark).to_numpy(zero_copy_only=False)
     starts = np.append(True, ends[codes[:-1]])
     starts[bounds[:-1][np.diff(bounds) > 0]] = True
-    sentence = np.cumsum(starts) - 1
-    flat = hashes[codes]
-    order = np.lexsort((flat, sentence))
-    flat, owner = flat[order], sentence[order]
-    new = np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])) & (flat != 0)
-    flat, owner = flat[new], owner[new]
-    n = int(sentence[-1]) + 1
     first = np.flatnonzero(starts)
-    return Bags(flat, np.searchsorted(owner, np.arange(n + 1)), np.searchsorted(first, bounds),
+    kept = starts | np.append(True, codes[1:] != codes[:-1])
+    before = np.concatenate(([0], np.cumsum(kept)))
+    return Bags(word_features(words), codes[kept], before[np.append(first, len(codes))], np.searchsorted(first, bounds),
                 first - bounds[np.searchsorted(bounds, first, side="right") - 1])
 
 
 @dataclass
 class ToxicityModel:
-    words: np.ndarray
+    """Sorted feature hashes with their weights, and the bias of a sentence."""
+
+    features: np.ndarray
     weights: np.ndarray
     bias: float
 
-    def word_numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of every known word; the last number, with weight 0, for the others."""
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.searchsorted(self.words, hashes)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == hashes, at, len(self.words))
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Number of every known feature; the last number, with weight 0, for the others."""
+        if not len(self.features):
+            return np.zeros(hashes.shape, np.int64)
+        at = np.searchsorted(self.features, hashes)
+        at[at == len(self.features)] = 0
+        return np.where(self.features[at] == hashes, at, len(self.features))
 
-    def sentence_scores(self, bags: Bags) -> np.ndarray:
-        weights = np.append(self.weights, 0.0)[self.word_numbers(bags.words)]
-        return 1 / (1 + np.exp(-(self.bias + segment_sums(weights, bags.word_bounds))))
+    def sentence_scores(self, bags: Bags, numbers: np.ndarray | None = None) -> np.ndarray:
+        numbers = self.numbers(bags.features) if numbers is None else numbers
+        weights = np.append(self.weights, 0.0)[numbers].sum(axis=1)
+        logits = self.bias + segment_sums(weights[bags.codes], bags.word_bounds)
+        return 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
 
     def scores(self, bags: Bags, sentences: np.ndarray) -> np.ndarray:
         clean = segment_sums(np.log1p(-np.minimum(sentences, 1 - 1e-12)), bags.sentence_bounds)
@@ -103,31 +124,33 @@ class ToxicityModel:
 
 
 def train(bags: Bags, labels: np.ndarray, epochs: int = EPOCHS) -> ToxicityModel:
-    """Fit word weights to text labels by the noisy-or likelihood."""
+    """Fit feature weights to text labels by the noisy-or likelihood."""
+    n_words, kinds = bags.features.shape
     texts = np.repeat(np.arange(len(labels)), np.diff(bags.sentence_bounds))
-    owner = np.repeat(texts, np.diff(bags.word_bounds))
-    words, number = np.unique(bags.words, return_inverse=True)
-    pairs = np.unique(owner.astype(np.int64) * max(len(words), 1) + number)
-    text_of, word_of = np.divmod(pairs, max(len(words), 1))
-    seen = np.bincount(word_of, minlength=len(words))
-    toxic = np.bincount(word_of, weights=labels[text_of], minlength=len(words))
-    known = seen >= LEAST_TEXTS
-    positives = max(labels.sum(), 1.0)
-    negatives = max(len(labels) - labels.sum(), 1.0)
+    sentence = np.repeat(np.arange(len(texts)), np.diff(bags.word_bounds))
+    features, number = np.unique(bags.features, return_inverse=True)
+    number = number.reshape(bags.features.shape)
+    pairs = np.unique(texts[sentence] * max(n_words, 1) + bags.codes)
+    text_of, word_of = np.divmod(pairs, max(n_words, 1))
+    pairs = np.unique((text_of[:, None] * max(len(features), 1) + number[word_of]).ravel())
+    text_of, feature_of = np.divmod(pairs, max(len(features), 1))
+    seen = np.bincount(feature_of, minlength=len(features))
+    toxic = np.bincount(feature_of, weights=labels[text_of], minlength=len(features))
+    known = (seen >= LEAST_TEXTS) & (features != 0)
+    positives, negatives = max(labels.sum(), 1.0), max(len(labels) - labels.sum(), 1.0)
     odds = np.log((toxic + 0.5) / (positives + 1)) - np.log((seen - toxic + 0.5) / (negatives + 1))
-    model = ToxicityModel(words[known], np.maximum(odds[known] - 1.0, 0.0), START_BIAS)
-    if not len(words):
+    model = ToxicityModel(features[known], START * np.maximum(odds[known] - 2.0, 0.0), START_BIAS)
+    if not known.any():
         return model
-    at = model.word_numbers(bags.words)
-    sentence = np.repeat(np.arange(len(bags.word_bounds) - 1), np.diff(bags.word_bounds))
-    squares, bias_square = np.full(known.sum() + 1, 1e-6), 1e-6
+    numbers = model.numbers(bags.features)
+    squares, bias_square = np.full(len(model.features) + 1, 1e-8), 1e-8
     for _ in range(epochs):
-        p = model.sentence_scores(bags)
+        p = model.sentence_scores(bags, numbers)
         score = np.clip(model.scores(bags, p), 1e-9, 1 - 1e-9)
         # d log-likelihood / d logit of a sentence: p * (1 - score) / score for label 1, -p for label 0
-        y = labels[texts]
-        slope = np.where(y == 1, p * ((1 - score) / score)[texts], -p) / len(labels)
-        gradient = np.bincount(at, weights=slope[sentence], minlength=len(squares))
+        slope = np.where(labels[texts] == 1, p * ((1 - score) / score)[texts], -p) / len(labels)
+        by_word = np.bincount(bags.codes, weights=slope[sentence], minlength=n_words)
+        gradient = np.bincount(numbers.ravel(), weights=np.repeat(by_word, kinds), minlength=len(squares))
         squares += gradient ** 2
         step = RATE / np.sqrt(squares)
         weights = model.weights + (step * gradient)[:-1]
@@ -139,28 +162,10 @@ def train(bags: Bags, labels: np.ndarray, epochs: int = EPOCHS) -> ToxicityModel
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on at most ``sample_rows`` labelled texts outside the held-out remainder."""
-
-    def bags_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            bags = read_bags(part.column("text"))
-            rows = []
-            for t in range(part.num_rows):
-                cuts = bags.word_bounds[bags.sentence_bounds[t]:bags.sentence_bounds[t + 1] + 1]
-                rows.append((bags.words[cuts[0]:cuts[-1]].tobytes() if len(cuts) > 1 else b"",
-                             np.diff(cuts).astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("label"),
-                                              pa.array([w for w, _ in rows], pa.binary()),
-                                              pa.array([n for _, n in rows], pa.binary())],
-                                             names=["doc_id", "label", "words", "lengths"])
-
-    sample = (labelled_sample(docs, labels, label, sample_rows)
-              .mapInArrow(bags_of, "doc_id bigint, label int, words binary, lengths binary").toArrow().sort_by("doc_id"))
-    lengths = [np.frombuffer(b, np.int32) for b in sample.column("lengths").to_pylist()]
-    words = [np.frombuffer(b, np.uint64) for b in sample.column("words").to_pylist()]
-    bags = Bags(np.concatenate([np.zeros(0, np.uint64), *words]),
-                np.concatenate(([0], np.cumsum(np.concatenate([np.zeros(0, np.int32), *lengths])))).astype(np.int64),
-                np.concatenate(([0], np.cumsum([len(n) for n in lengths]))).astype(np.int64), np.zeros(0, np.int64))
-    return train(bags, sample.column("label").to_numpy().astype(np.float64))
+    sample = labelled_sample(docs, labels, label, sample_rows).toArrow().sort_by("doc_id")
+    texts = sample.column("text").combine_chunks()
+    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
+    return train(read_bags(texts.cast(pa.string())), sample.column("label").to_numpy().astype(np.float64))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", keep: tuple[str, ...] | None = None,

@@ -9,7 +9,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_dedup, fair_mix, knn_quality, shingle_join
+from . import (
+    backoff_lm,
+    bpe,
+    chunk_dedup,
+    fair_mix,
+    html_blocks,
+    knn_quality,
+    mil_toxicity,
+    ppm_language,
+    shingle_join,
+    winnowing,
+)
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,12 +39,47 @@ def _register(name: str, sql: str | None = None):
     return deco
 
 
+@_register("op1_html_blocks")
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    model = html_blocks.fit_labeller(pages)
+    return html_blocks.extract_pages(pages, model, keep=("page_id", "url"))
+
+
 @_register("op2_byte_bpe")
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(VOCABULARY),
                       public_tokenizers.PATTERN, ids=False, keep=("doc_id",))
 
 
+@_register("op3_backoff_lm")
+def op3_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return backoff_lm.score_texts(docs, id_remainder(F.col("doc_id"), 5) == 1)
+
+
+@_register("op4_mil_toxicity")
+def op4_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mil_toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return (mil_toxicity.score_toxicity(docs, model, keep=("doc_id",))
+            .select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "sentences"))
+
+
+@_register("op5_winnowing")
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_register("op6_ppm_language")
+def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_remainder(F.col("doc_id"), 3) == 1
+    trees = ppm_language.fit_languages(docs, ~held_out)
+    return (ppm_language.predict_languages(docs.select("doc_id", "text"), trees, keep=("doc_id",))
+            .select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte"))
+
+
 MIX_SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
