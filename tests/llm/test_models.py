@@ -94,7 +94,7 @@ def test_quality_votes_equal_brute_force():
 
 
 def test_toxicity_finds_words_and_sentences(spark):
-    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
     model = mil_toxicity.fit_toxicity(docs, labels)
     rows = (mil_toxicity.score_toxicity(docs, model, keep=("doc_id",)).join(labels, "doc_id")
             .where(id_remainder(F.col("doc_id"), 5) == 0).collect())
