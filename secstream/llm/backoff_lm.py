@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +45,15 @@ END_HASH = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 _TOKEN_BITS = np.uint64((1 << 48) - 1)
 
-_PACKED = ("bucket bigint, block bigint, tokens binary, counts binary, doc_id array<bigint>, train array<boolean>, "
-           "bounds binary, words binary, hashes binary")
-
 
 class Block:
     """The texts of a block as word numbers, ends included, with the block's distinct n-grams."""
 
     def __init__(self, codes: np.ndarray, bounds: np.ndarray, hashes: np.ndarray):
         self.codes, self.bounds, self.hashes = codes, bounds, hashes
+
+    def find_pairs(self) -> None:
+        codes, bounds, hashes = self.codes, self.bounds, self.hashes
         width = max(len(hashes), 1)
         follows = np.ones(len(codes), bool)
         follows[bounds[:-1]] = False
@@ -104,49 +104,86 @@ def _unpack_steps(packed: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-def _blocks(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, block, n-grams with training counts), and a row of the texts themselves per block."""
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as single bytes; 255 stands for a larger one, which follows as 8 bytes."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def _unpack_counts(packed: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(packed, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed, "<i8", offset=n)
+    return counts
+
+
+_REQUEST = "bucket bigint, block bigint, tokens binary, pairs binary, counts binary"
+_RETURN = ("block bigint, bucket bigint, counts binary, doc_id array<bigint>, train array<boolean>, bounds binary, "
+           "words binary, hashes binary")
+_RETURN_SCHEMA = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()),
+                            ("doc_id", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("bounds", pa.binary()),
+                            ("words", pa.binary()), ("hashes", pa.binary())])
+
+
+def _named_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block, pa.RecordBatch, np.ndarray]]:
+    """Blocks with a name made from their content, so both passes over the texts agree on it."""
+    for part in text_slices(batches, "text", BLOCK_BYTES):
+        block = read_block(part.column("text"))
+        train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        name = xxhash.xxh3_64()
+        for piece in (block.codes, block.bounds, block.hashes, train):
+            name.update(piece.tobytes())
+        name.update(repr(part.column("doc_id").to_pylist()).encode())
+        yield int(np.uint64(name.intdigest()).astype(np.int64)), block, part, train
+
+
+def _requests(docs: DataFrame, buckets: int) -> DataFrame:
+    """The distinct n-grams of each block by bucket, with their counts in its training texts."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = TaskContext.get().partitionId() << 24
-        for part in text_slices(batches, "text", BLOCK_BYTES):
-            block = read_block(part.column("text"))
-            train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        for name, block, _, train in _named_blocks(batches):
+            block.find_pairs()
             counts = block.training_counts(train)
             order, cuts = block.order(buckets)
-            rows: list[dict] = [{"bucket": -1 - name, "block": name, "doc_id": part.column("doc_id").to_pylist(),
-                                 "train": train.tolist(), "bounds": block.bounds.tobytes(),
-                                 "words": block.codes.astype(np.uint32).tobytes(), "hashes": block.hashes.tobytes()}]
             tokens = block.ngrams & _TOKEN_BITS
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                chosen = order[cuts[b]:cuts[b + 1]]
-                # words and pairs are told apart by the sign of count + 1
-                sign = np.where(chosen < len(block.hashes), -1, 1)
-                rows.append({"bucket": b, "block": name, "tokens": _pack_steps(tokens[chosen]),
-                             "counts": (sign * (counts[chosen] + 1)).astype("<i4").tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
-            name += 1
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            chosen = [order[cuts[b]:cuts[b + 1]] for b in full]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full, pa.int64()), pa.array([name] * len(full), pa.int64()),
+                 pa.array([_pack_steps(tokens[c]) for c in chosen], pa.binary()),
+                 pa.array([np.packbits(c >= len(block.hashes)).tobytes() for c in chosen], pa.binary()),
+                 pa.array([_pack_counts(counts[c]) for c in chosen], pa.binary())],
+                names=["bucket", "block", "tokens", "pairs", "counts"])
 
-    return docs.select("doc_id", "text", "train").mapInArrow(pack, _PACKED)
+    return docs.mapInArrow(pack, _REQUEST)
 
 
-_SCHEMA = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary()),
-                     ("doc_id", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("bounds", pa.binary()),
-                     ("words", pa.binary()), ("hashes", pa.binary())])
+def _sequences(docs: DataFrame) -> DataFrame:
+    """The texts of each block as word numbers, with the hashes of its words."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, block, part, train in _named_blocks(batches):
+            yield pa.RecordBatch.from_pylist([{
+                "block": name, "bucket": -1, "doc_id": part.column("doc_id").to_pylist(), "train": train.tolist(),
+                "bounds": block.bounds.tobytes(), "words": block.codes.astype(np.uint32).tobytes(),
+                "hashes": block.hashes.tobytes()}], _RETURN_SCHEMA)
+
+    return docs.mapInArrow(pack, _RETURN)
 
 
 def _sum_bucket(blobs: pd.DataFrame) -> pd.DataFrame:
     """Totals of a bucket's n-grams over all blocks, returned to each block in its own order."""
-    if blobs["bucket"].iloc[0] < 0:
-        return blobs
     tokens = [_unpack_steps(t) for t in blobs["tokens"]]
-    counts = np.concatenate([np.frombuffer(c, "<i4") for c in blobs["counts"]]).astype(np.int64)
+    pairs = [np.unpackbits(np.frombuffer(p, np.uint8), count=len(t)) for p, t in zip(blobs["pairs"], tokens, strict=True)]
+    counts = np.concatenate([_unpack_counts(c, len(t)) for c, t in zip(blobs["counts"], tokens, strict=True)])
     # a word and a pair never share a number: the lowest bit tells them apart
-    keys = np.concatenate(tokens) << np.uint64(1) | (counts > 0).astype(np.uint64)
+    keys = np.concatenate(tokens) << np.uint64(1) | np.concatenate(pairs)
     _, at = np.unique(keys, return_inverse=True)
-    totals = np.bincount(at, weights=np.abs(counts) - 1).astype(np.int64)[at]
+    totals = np.bincount(at, weights=counts).astype(np.int64)[at]
     cuts = np.cumsum([0, *map(len, tokens)])
-    return blobs.assign(tokens=None, counts=[totals[a:b].astype("<i8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    out = pd.DataFrame({"block": blobs["block"], "bucket": blobs["bucket"],
+                        "counts": [_pack_counts(totals[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+    for column in ("doc_id", "train", "bounds", "words", "hashes"):
+        out[column] = None
+    return out
 
 
 def training_totals(docs: DataFrame, buckets: int) -> tuple[int, int]:
@@ -216,19 +253,26 @@ def score_texts(df: DataFrame, held_out: Column, text: str = "text") -> DataFram
     n, v = training_totals(docs, buckets)
 
     def score(blobs: pd.DataFrame) -> pd.DataFrame:
-        head = blobs[blobs["bucket"] < 0].iloc[0]
+        heads, returned = blobs[blobs["bucket"] < 0], blobs[blobs["bucket"] >= 0]
+        head = heads.iloc[0]
         block = Block(np.frombuffer(head["words"], np.uint32).astype(np.int64), np.frombuffer(head["bounds"], np.int64),
                       np.frombuffer(head["hashes"], np.uint64))
+        block.find_pairs()
         order, cuts = block.order(buckets)
-        totals = np.zeros(len(order), np.int64)
-        for row in blobs[blobs["bucket"] >= 0].itertuples(index=False):
-            totals[order[cuts[row.bucket]:cuts[row.bucket + 1]]] = np.frombuffer(row.counts, "<i8")
+        totals = np.full(len(order), -1)
+        for row in returned.itertuples(index=False):
+            lo, hi = cuts[row.bucket], cuts[row.bucket + 1]
+            totals[order[lo:hi]] = _unpack_counts(row.counts, hi - lo)
+        if (totals < 0).any():
+            raise ValueError("the two passes over the texts cut different blocks; read them from a stable table")
         automaton = Automaton(block, totals, n, v)
         scores, base = automaton.traverse()
-        return pd.DataFrame({
-            "doc_id": pd.array(list(head["doc_id"]), "Int64"), "held_out": ~np.asarray(list(head["train"]), bool),
-            "n_tokens": np.diff(block.bounds), "n_known": segment_sums(automaton.known[block.codes], block.bounds).astype(np.int64),
-            "train_tokens": n, "base_score": base, "score": scores})
-
-    summed = _blocks(docs, buckets).groupBy("bucket").applyInPandas(_sum_bucket, _PACKED)
-    return summed.groupBy("block").applyInPandas(score, _SCORES)
+        known = segment_sums(automaton.known[block.codes], block.bounds).astype(np.int64)
+        # blocks of equal rows share a name; each is one head
+        return pd.concat([pd.DataFrame({
+            "doc_id": pd.array(list(h.doc_id), "Int64"), "held_out": ~np.asarray(list(h.train), bool),
+            "n_tokens": np.diff(block.bounds), "n_known": known, "train_tokens": n, "base_score": base, "score": scores})
+            for h in heads.itertuples(index=False)])
+
+    summed = _requests(docs, buckets).groupBy("bucket").applyInPandas(_sum_bucket, _RETURN)
+    return summed.unionByName(_sequences(docs)).groupBy("block").applyInPandas(score, _SCORES)

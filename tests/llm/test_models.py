@@ -55,6 +55,7 @@ def test_language_model_against_brute_force(spark, monkeypatch):
 def test_language_model_probabilities_sum_to_one():
     texts = pa.array(["a b a c", "a a b", "b c a b"])
     block = backoff_lm.read_block(texts)
+    block.find_pairs()
     counts = block.training_counts(np.ones(3, bool))
     n, v = int(counts[:len(block.hashes)].sum()), len(block.hashes)
     model = backoff_lm.Automaton(block, counts, n, v)
