@@ -28,7 +28,8 @@ def parse_iso(text: Column, numeric_epoch: bool = False) -> Column:
     (an option; the default reproduces the reference, where such kernel
     timestamps are unparseable and land in bucket 0).
     """
-    t = F.trim(text)
+    # digits past the microsecond are cut and an offset without a colon gets one, as ISO readers do
+    t = F.regexp_replace(F.regexp_replace(F.trim(text), r"(\.\d{6})\d+", "$1"), r"(:\d{2}(?:\.\d+)?[+-]\d{2})(\d{2})$", "$1:$2")
     parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in ISO_PATTERNS])
     if numeric_epoch:
         secs = t.try_cast("double")

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 
 def latest_per_key(df: DataFrame, key: str, order: str, count_as: str | None = None) -> DataFrame:
-    """Keep, per ``key``, the row with the greatest ``order`` (ties: any one,
-    deterministic for identical rows). Optionally count the copies."""
+    """Keep, per ``key``, the row with the greatest ``order`` (ties: the one
+    with the greatest hash of its other columns, so a rerun keeps the same row). Optionally count the copies."""
     others = [c for c in df.columns if c != key]
-    aggs = [F.max_by(F.struct(*others), F.col(order)).alias("_last")]
+    aggs = [F.max_by(F.struct(*others), F.struct(F.col(order), F.xxhash64(*others))).alias("_last")]
     if count_as:
         aggs.append(F.count(F.lit(1)).alias(count_as))
     out = df.groupBy(key).agg(*aggs).select(key, "_last.*", *([count_as] if count_as else []))

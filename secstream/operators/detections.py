@@ -77,11 +77,11 @@ def is_private_ipv4(text: Column) -> Column:
 def rule_findings(host_docs: DataFrame) -> DataFrame:
     """Rule table over kernel/host args -> findings per (rule, host)."""
     args = F.coalesce(F.col("attributes.args"), F.lit(""))
-    has_ip = F.regexp_extract(args, IPV4, 0) != ""
+    addresses = F.regexp_extract_all(args, F.lit(f"({IPV4})"), F.lit(1))
+    external = F.exists(addresses, lambda a: ~F.coalesce(is_private_ipv4(a), F.lit(False)))
     rules = [
         ("persistence_path", has_pattern(args, PERSISTENCE_PATTERN) == 1),
-        ("network_external", (has_pattern(args, NETWORK_PATTERN) == 1) & has_ip & ~F.coalesce(is_private_ipv4(args),
-                                                                                             F.lit(False))),
+        ("network_external", (has_pattern(args, NETWORK_PATTERN) == 1) & external),
         ("interactive_shell", has_pattern(args, INTERACTIVE_SHELL_PATTERN) == 1),
     ]
     hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
@@ -99,7 +99,7 @@ def beaconing(dns_docs: DataFrame, min_calls: int = 5, max_cv: float = 0.1) -> D
     g = d.withColumn("gap", F.col("t") - F.lag("t").over(w))
     out = g.groupBy("host", "domain").agg(F.count(F.lit(1)).alias("calls"), F.avg("gap").alias("avg_gap"),
                                           F.stddev_samp("gap").alias("sd_gap"))
-    cv = F.col("sd_gap") / F.col("avg_gap")
+    cv = F.try_divide(F.col("sd_gap"), F.col("avg_gap"))  # calls in one instant have no ratio
     return out.select("host", "domain", "calls", F.round("avg_gap", 3).alias("avg_gap"), F.round(cv, 4).alias("cv"),
                       ((F.col("calls") >= min_calls) & F.coalesce(cv < max_cv, F.lit(False))).alias("regular"))
 
@@ -125,7 +125,7 @@ def unmatched_mmaps(host_docs: DataFrame) -> DataFrame:
 def merge_incidents(docs: DataFrame, window_minutes: int = 10, max_gap_buckets: int = 3) -> DataFrame:
     """Gaps-and-islands over each host's incident groups: groups whose
     buckets are at most ``max_gap_buckets`` apart form one merged incident."""
-    g = incident_groups(docs, window_minutes).filter(F.col("bucket") > 0)
+    g = incident_groups(docs, window_minutes)
     w = Window.partitionBy("host").orderBy("bucket")
     brk = F.when(F.col("bucket") - F.lag("bucket").over(w) <= max_gap_buckets, 0).otherwise(1)
     g = g.withColumn("_b", brk).withColumn("island", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))

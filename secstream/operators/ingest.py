@@ -13,7 +13,7 @@ from ..functions.features import with_features
 from ..functions.ids import doc_id
 from ..functions.timeparse import parse_iso
 from ..sources import envelope
-from .parse import parse_documents
+from .parse import KNOWN_LOG_TYPES, parse_documents
 
 
 def enrich(raw_rows: DataFrame, numeric_epoch: bool = False) -> DataFrame:
@@ -29,6 +29,47 @@ def enrich_messages(messages: DataFrame, value_col: str = "value") -> DataFrame:
     return enrich(envelope.decode(messages, value_col))
 
 
+_RANGES = {"DnsResponseCode": "int", "argsNum": "int", "eventId": "bigint", "returnValue": "bigint", "processId": "bigint",
+           "parentProcessId": "bigint", "userId": "bigint", "threadId": "bigint", "mountNamespace": "bigint"}
+
+
+def route_messages(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    """The decoded messages with ``reason``, null for those that give a document.
+
+    ``undecodable``: no JSON envelope with a raw record; ``unknown_type``: a log
+    type without a parser; ``out_of_range``: a number that its column cannot hold.
+    """
+    rows = envelope.decode(messages.withColumn("_message", F.col(value_col)), value_col)
+    outside = F.lit(False)
+    for name, kind in _RANGES.items():
+        number = F.col(f"raw.{name}")
+        outside = outside | (number.isNotNull() & number.try_cast(kind).isNull())
+    reason = (F.when(F.col("raw").isNull(), "undecodable")
+              .when(~F.coalesce(F.col("log_type").isin(*KNOWN_LOG_TYPES), F.lit(False)), "unknown_type")
+              .when(outside, "out_of_range"))
+    return rows.withColumn("reason", reason)
+
+
+def _where_flat(df: DataFrame, condition, columns: list[str]) -> DataFrame:
+    """Rows that meet the condition, by a flat-map: a pushed filter would repeat the JSON decode."""
+    row = F.array(F.struct(*columns))
+    return df.select(F.inline(F.when(condition, row).otherwise(F.array().cast(df.select(row).schema[0].dataType))))
+
+
+def dead_letters(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    """The messages that give no document, as they came, with the reason."""
+    routed = route_messages(messages, value_col)
+    kept = [c for c in routed.columns if c not in ("source_file", "log_type", "raw")]
+    return _where_flat(routed, F.col("reason").isNotNull(), kept).withColumnRenamed("_message", value_col)
+
+
+def accepted_documents(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    """Enriched documents of all other messages: with the dead letters they account for every message."""
+    routed = route_messages(messages, value_col)
+    kept = [c for c in routed.columns if c not in ("reason", "_message")]
+    return enrich(_where_flat(routed, F.col("reason").isNull(), kept))
+
+
 def flat_documents(docs: DataFrame) -> DataFrame:
     """Flatten the nested document (for exports and SQL comparison)."""
     feats = [f"features.{f.name}" for f in docs.schema["features"].dataType.fields]

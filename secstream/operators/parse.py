@@ -3,12 +3,13 @@
 One ``select`` with a ``when`` per branch replaces the per-type parser
 classes: the three branches share a single pass over the input and the
 output schema is the union of all branch fields (absent ones are null).
-Rows of an unknown log type are not silently dropped: ``split_known`` returns
-them separately for a dead-letter table.
+Rows of an unknown log type give no document here; ``ingest.dead_letters``
+reports them, with undecodable and out-of-range ones, for a dead-letter table.
 
 Defaults (applied where the raw field is missing): DNS text fields ``""``,
 response code null; kernel/host text fields ``""``; event name
-``unknown_kernel_event`` (deep kernel) or ``unknown_event`` (host); labels 0;
+``unknown_kernel_event`` (deep kernel) or ``unknown_event`` (host); a null label
+stays null (a label key absent from a message is read as 0 by the decoder);
 source file ``unknown``.
 """
 
@@ -20,13 +21,12 @@ from pyspark.sql import functions as F
 KNOWN_LOG_TYPES = ("dns", "deep_kernel", "standard_host")
 
 
-def split_known(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    known = F.coalesce(F.col("log_type").isin(*KNOWN_LOG_TYPES), F.lit(False))
-    return df.filter(known), df.filter(~known)
+def _long(c: Column) -> Column:
+    return c.try_cast("bigint")
 
 
-def _long(c: Column) -> Column:
-    return c.cast("bigint")
+def _int(c: Column) -> Column:
+    return c.try_cast("int")
 
 
 def parse_documents(df: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def parse_documents(df: DataFrame) -> DataFrame:
         only(dns, F.coalesce(r("SourceIP"), F.lit("")), "string").alias("source_ip"),
         only(dns, F.coalesce(r("DestinationIP"), F.lit("")), "string").alias("destination_ip"),
         only(dns, F.coalesce(r("DnsQuery"), F.lit("")), "string").alias("dns_query"),
-        only(dns, r("DnsResponseCode").cast("int"), "int").alias("dns_response_code"),
+        only(dns, _int(r("DnsResponseCode")), "int").alias("dns_response_code"),
         only(host, F.coalesce(r("hostName"), F.lit("")), "string").alias("host_name"),
         only(host, _long(r("eventId")), "bigint").alias("event_id"),
         only(host, _long(r("returnValue")), "bigint").alias("return_value"),
@@ -60,12 +60,12 @@ def parse_documents(df: DataFrame) -> DataFrame:
         only(kern, _long(r("threadId")), "bigint").alias("thread_id"),
         only(kern, _long(r("mountNamespace")), "bigint").alias("mount_namespace"),
         only(kern, F.coalesce(r("stackAddresses"), F.lit("")), "string").alias("stack_addresses"),
-        only(host, r("argsNum").cast("int"), "int").alias("args_num"),
+        only(host, _int(r("argsNum")), "int").alias("args_num"),
         only(host, r("args"), "string").alias("args"),
     )
     labels = F.struct(
-        F.coalesce(r("sus").cast("int"), F.lit(0)).alias("sus"),
-        F.coalesce(r("evil").cast("int"), F.lit(0)).alias("evil"),
+        _int(r("sus")).alias("sus"),
+        _int(r("evil")).alias("evil"),
     )
     extra = [c for c in known.columns if c not in ("source_file", "log_type", "raw")]
     doc = F.struct(

@@ -30,7 +30,12 @@ def exact_rank(df: DataFrame, group_cols: list[str], order_cols: list, rank_col:
     blocks = s.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = s.join(blocks.select("_pid", *group_cols, "_off", "_m0"), ["_pid", *group_cols])
+    # null groups are groups: the join must not lose them
+    b = blocks.select(F.col("_pid").alias("_bp"), *(F.col(c).alias(f"_b_{c}") for c in group_cols), "_off", "_m0")
+    same = F.col("_pid") == F.col("_bp")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    out = s.join(b, same).drop("_bp", *(f"_b_{c}" for c in group_cols))
     return out.withColumn(rank_col, (F.col("_off") + F.col("_mid") - F.col("_m0") + 1).cast("bigint")).drop(
         "_pid", "_mid", "_off", "_m0")
 

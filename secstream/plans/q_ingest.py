@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.dedup import latest_per_key
-from ..operators.ingest import enrich_messages, flat_documents
+from ..operators.ingest import accepted_documents, dead_letters, enrich_messages, flat_documents
 from ..sources import envelope
 from ..sources.driver_events import raw_events
 from ..sources.tables import read_table
@@ -15,15 +15,9 @@ from .sql_events import ENRICHED_COLUMNS, with_docs
 _COLS = ", ".join(ENRICHED_COLUMNS)
 
 
-_DOCS: dict = {}
-
-
 def _message_docs(spark, sf_dir):
-    """events -> JSON envelopes -> decoded, enriched documents (plan memoised)."""
-    key = (id(spark), sf_dir)
-    if key not in _DOCS:
-        _DOCS[key] = enrich_messages(envelope.encode(raw_events(read_table(spark, sf_dir, "events"))))
-    return _DOCS[key]
+    """events -> JSON envelopes -> decoded, enriched documents."""
+    return enrich_messages(envelope.encode(raw_events(read_table(spark, sf_dir, "events"))))
 
 
 @register("ingest_enriched", with_docs(f"SELECT {_COLS} FROM docs"))
@@ -52,3 +46,43 @@ def ingest_dedup(spark, sf_dir):
     out = latest_per_key(delivered.select("doc_id", "event_id", "log_type", "timestamp", "delivery"),
                          "doc_id", "delivery", count_as="deliveries")
     return out.select("doc_id", "event_id", "log_type", "timestamp", "deliveries")
+
+
+def _damaged_messages(spark, sf_dir):
+    """Messages of the events, some cut short, some of an unknown type, some with a number too large,
+    and some without label, with a null or NaN label, or with a user id sent as text."""
+    m = envelope.encode(raw_events(read_table(spark, sf_dir, "events")))
+    case = F.col("event_id") % 20
+    v = F.col("value")
+    label = r'"sus":[0-9.]+'
+    return m.withColumn("value", F.when(case == 0, F.substring(v, 1, 25))
+                        .when(case == 1, F.regexp_replace(v, '"log_type":"[a-z_]+"', '"log_type":"mystery"'))
+                        .when(case == 2, F.regexp_replace(v, r'"(DnsResponseCode|argsNum)":[0-9.]+', '"$1":1.0E12'))
+                        .when(case == 3, F.regexp_replace(v, label, '"sus":null'))
+                        .when(case == 4, F.regexp_replace(v, label, '"sus":NaN'))
+                        .when(case == 5, F.regexp_replace(v, label + ",?", ""))
+                        .when(case == 6, F.regexp_replace(v, r'"userId":([0-9.]+)', '"userId":"$1"'))
+                        .otherwise(v))
+
+
+_FATE_SQL = """fate AS (SELECT *, event_id % 20 AS c,
+  CASE WHEN event_id % 20 = 0 THEN 'undecodable' WHEN event_id % 20 = 1 THEN 'unknown_type'
+       WHEN event_id % 20 = 2 AND (log_type <> 'dns' OR dns_response_code IS NOT NULL) THEN 'out_of_range' END AS reason
+  FROM docs)"""
+
+
+@register("ingest_dead_letter", with_docs(f"""
+SELECT event_id, reason FROM ({_FATE_SQL.removeprefix("fate AS (").removesuffix(")")}) WHERE reason IS NOT NULL"""))
+def ingest_dead_letter(spark, sf_dir):
+    """The messages that give no document, with the reason."""
+    return dead_letters(_damaged_messages(spark, sf_dir)).select("event_id", "reason")
+
+
+@register("ingest_nulls", with_docs(f"""
+SELECT event_id, log_type, user_id, evil, CASE WHEN c IN (3, 4) THEN NULL WHEN c = 5 THEN 0 ELSE sus END AS sus
+FROM ({_FATE_SQL.removeprefix("fate AS (").removesuffix(")")}) WHERE reason IS NULL"""))
+def ingest_nulls(spark, sf_dir):
+    """G1: null and NaN labels stay null, absent ones are 0, numbers sent as text are read."""
+    d = accepted_documents(_damaged_messages(spark, sf_dir))
+    return d.select("event_id", "log_type", F.col("attributes.user_id").alias("user_id"),
+                    F.col("labels.evil").alias("evil"), F.col("labels.sus").alias("sus"))

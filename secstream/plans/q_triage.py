@@ -35,17 +35,10 @@ def labelled_events(spark, sf_dir):
     return ev.withColumn("features", serving_features(F.col("log_type")))
 
 
-_FRAMES: dict = {}
-
-
 def ml_frame_df(spark, sf_dir):
-    """The encoded training frame (plan memoised per session and directory;
-    the fitted label classes are a tiny distinct result)."""
-    key = (id(spark), sf_dir)
-    if key not in _FRAMES:
-        frame = TR.build_frame(labelled_events(spark, sf_dir))
-        _FRAMES[key] = TR.encode_log_type(frame, TR.fit_log_types(frame))
-    return _FRAMES[key]
+    """The encoded training frame (the fitted label classes are a tiny distinct result)."""
+    frame = TR.build_frame(labelled_events(spark, sf_dir))
+    return TR.encode_log_type(frame, TR.fit_log_types(frame))
 
 
 _FRAME_CTE = f"""

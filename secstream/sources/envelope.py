@@ -66,6 +66,14 @@ def python_number_text(text: Column) -> Column:
     return F.when(javaish & integral, F.concat(F.floor(d).cast("bigint").cast("string"), F.lit(".0"))).otherwise(text)
 
 
+def _quoted_number(value: Column, name: str) -> Column:
+    """A number sent as text, such as ``"userId":"0"``; the JSON reader gives null for it."""
+    text = value.cast("string")
+    quoted = F.regexp_extract(text, f'"{name}"\\s*:\\s*"([^"\\\\]*)"', 1)
+    # only a message that quotes this field pays for the pattern
+    return F.when(F.instr(text, f'"{name}":"') + F.instr(text, f'"{name}": "') > 0, quoted.try_cast("double"))
+
+
 def decode(messages: DataFrame, value_col: str = "value") -> DataFrame:
     """JSON messages -> (source_file, log_type, raw) with numbers cleaned."""
     parsed = messages.withColumn("_env", F.from_json(F.col(value_col).cast("string"), ENVELOPE_SCHEMA,
@@ -76,6 +84,11 @@ def decode(messages: DataFrame, value_col: str = "value") -> DataFrame:
         c = F.col(f"_raw.{f.name}")
         if isinstance(f.dataType, T.DoubleType):
             c = clean_number(c)
+            if f.name in ("sus", "evil"):
+                # an absent label key means 0; a null or NaN label stays null
+                c = F.when(c.isNull() & (F.instr(F.col(value_col).cast("string"), f'"{f.name}"') == 0), F.lit(0.0)).otherwise(c)
+            else:
+                c = F.coalesce(c, clean_number(_quoted_number(F.col(value_col), f.name)))
         elif f.name == "timestamp":
             c = python_number_text(c)
         raw_fields.append(c.alias(f.name))
