@@ -16,17 +16,17 @@ from ..sources import envelope
 from .parse import KNOWN_LOG_TYPES, parse_documents
 
 
-def enrich(raw_rows: DataFrame, numeric_epoch: bool = False) -> DataFrame:
+def enrich(raw_rows: DataFrame, numeric_epoch: bool = False, keep_null_labels: bool = False) -> DataFrame:
     """(…, source_file, log_type, raw) -> enriched documents with ``doc_id``
     and a typed ``event_time`` (null when the text does not parse)."""
-    docs = with_features(parse_documents(raw_rows))
+    docs = with_features(parse_documents(raw_rows, keep_null_labels))
     return docs.withColumn("doc_id", doc_id()).withColumn(
         "event_time", parse_iso(F.col("timestamp"), numeric_epoch=numeric_epoch))
 
 
 def enrich_messages(messages: DataFrame, value_col: str = "value") -> DataFrame:
     """S10 + T1: JSON envelopes -> enriched documents."""
-    return enrich(envelope.decode(messages, value_col))
+    return enrich(envelope.decode(messages, value_col), keep_null_labels=True)
 
 
 _RANGES = {"DnsResponseCode": "int", "argsNum": "int", "eventId": "bigint", "returnValue": "bigint", "processId": "bigint",
@@ -67,7 +67,7 @@ def accepted_documents(messages: DataFrame, value_col: str = "value") -> DataFra
     """Enriched documents of all other messages: with the dead letters they account for every message."""
     routed = route_messages(messages, value_col)
     kept = [c for c in routed.columns if c not in ("reason", "_message")]
-    return enrich(_where_flat(routed, F.col("reason").isNull(), kept))
+    return enrich(_where_flat(routed, F.col("reason").isNull(), kept), keep_null_labels=True)
 
 
 def flat_documents(docs: DataFrame) -> DataFrame:

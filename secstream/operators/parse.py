@@ -8,8 +8,9 @@ reports them, with undecodable and out-of-range ones, for a dead-letter table.
 
 Defaults (applied where the raw field is missing): DNS text fields ``""``,
 response code null; kernel/host text fields ``""``; event name
-``unknown_kernel_event`` (deep kernel) or ``unknown_event`` (host); a null label
-stays null (a label key absent from a message is read as 0 by the decoder);
+``unknown_kernel_event`` (deep kernel) or ``unknown_event`` (host); labels 0, but
+with ``keep_null_labels`` (messages: the decoder tells absent keys, read as 0, from
+null ones) a null label stays null;
 source file ``unknown``.
 """
 
@@ -29,7 +30,7 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
-def parse_documents(df: DataFrame) -> DataFrame:
+def parse_documents(df: DataFrame, keep_null_labels: bool = False) -> DataFrame:
     """(…, source_file, log_type, raw) -> parsed documents (only known types).
 
     The router emits zero or one document per row through ``inline`` (a
@@ -64,8 +65,7 @@ def parse_documents(df: DataFrame) -> DataFrame:
         only(host, r("args"), "string").alias("args"),
     )
     labels = F.struct(
-        _int(r("sus")).alias("sus"),
-        _int(r("evil")).alias("evil"),
+        *(F.coalesce(_int(r(n)), F.lit(None if keep_null_labels else 0).cast("int")).alias(n) for n in ("sus", "evil")),
     )
     extra = [c for c in known.columns if c not in ("source_file", "log_type", "raw")]
     doc = F.struct(
