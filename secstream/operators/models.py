@@ -12,6 +12,7 @@ the reference's parameter ranges evaluated in parallel by
 from __future__ import annotations
 
 import json
+import math
 import random
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -27,12 +28,13 @@ from ..functions.features import MODEL_FEATURES
 
 FEATURE_COLS = (*MODEL_FEATURES, "log_type_code")
 
-# ---- fixed values (reference training settings, MLlib counterparts) --------
-SUS_PARAMS = dict(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8")
-EVIL_PARAMS = dict(maxDepth=4, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8")
+# ---- fixed values (reference training settings, those that MLlib has a counterpart of) ----
+SUS_PARAMS = dict(maxDepth=5, stepSize=0.225087, subsamplingRate=0.586104, featureSubsetStrategy="0.903578",
+                  minInstancesPerNode=6)
+EVIL_PARAMS = dict(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=1)
 MAX_ROUNDS = 500
-SEARCH_RANGES = dict(maxDepth=(3, 10), stepSize=(0.01, 0.3), subsamplingRate=(0.5, 1.0),
-                     minInstancesPerNode=(1, 10))
+SEARCH_RANGES = dict(maxDepth=(3, 8), stepSize=(0.01, 0.3), subsamplingRate=(0.5, 1.0),
+                     featureSubsetStrategy=(0.3, 1.0), minInstancesPerNode=(1, 20))
 # ---------------------------------------------------------------------------
 
 
@@ -105,8 +107,10 @@ def random_search(train_df: DataFrame, label: str, trials: int = 4, max_rounds:
     for _ in range(trials):
         b = ParamGridBuilder()
         b.addGrid(gbt.maxDepth, [rnd.randint(*SEARCH_RANGES["maxDepth"])])
-        b.addGrid(gbt.stepSize, [round(rnd.uniform(*SEARCH_RANGES["stepSize"]), 4)])
+        low, high = map(math.log, SEARCH_RANGES["stepSize"])
+        b.addGrid(gbt.stepSize, [round(math.exp(rnd.uniform(low, high)), 6)])
         b.addGrid(gbt.subsamplingRate, [round(rnd.uniform(*SEARCH_RANGES["subsamplingRate"]), 4)])
+        b.addGrid(gbt.featureSubsetStrategy, [str(round(rnd.uniform(*SEARCH_RANGES["featureSubsetStrategy"]), 4))])
         b.addGrid(gbt.minInstancesPerNode, [rnd.randint(*SEARCH_RANGES["minInstancesPerNode"])])
         grid += b.build()
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName="areaUnderPR")

@@ -142,31 +142,29 @@ def audit_tail(audit: DataFrame, limit: int = 100, time_col: str = "_t") -> Data
     return newest.orderBy(F.col(time_col), F.col("caller_id"))
 
 
-_MATCH_SCHEMA = T.StructType([
-    T.StructField("source", T.StringType()), T.StructField("item_id", T.LongType()),
+_MATCH_FIELDS = [
     T.StructField("pii_type", T.StringType()), T.StructField("start", T.IntegerType()),
     T.StructField("end", T.IntegerType()), T.StructField("snippet", T.StringType()),
-])
+]
 
 
-def pii_matches(texts: DataFrame, source_col: str = "source", id_col: str = "item_id",
-                text_col: str = "text") -> DataFrame:
+def pii_matches(texts: DataFrame, keys: tuple[str, ...] = ("source", "item_id"), text_col: str = "text") -> DataFrame:
     """G-1 with offsets: every non-overlapping match per pattern with type,
     start, end and the first 20 characters. Python ``re`` (the reference's
     engine) runs inside Arrow batches; rows are scanned where they are, no
-    shuffle. Offsets are in code points."""
+    shuffle. Offsets are in code points; ``keys`` locate the text."""
     compiled = {k: re.compile(v) for k, v in PII_PATTERNS.items()}
+    schema = T.StructType([texts.schema[k] for k in keys] + _MATCH_FIELDS)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for src, rid, text in zip(b[source_col], b[id_col], b[text_col]):
+            for *key, text in zip(*[b[k] for k in keys], b[text_col]):
                 if not isinstance(text, str):
                     continue
                 for name, pat in compiled.items():
                     for m in pat.finditer(text):
-                        rows.append((src, rid, name, m.start(), m.end(), m.group()[:SNIPPET_CHARS]))
-            yield pd.DataFrame(rows, columns=[f.name for f in _MATCH_SCHEMA.fields])
+                        rows.append((*key, name, m.start(), m.end(), m.group()[:SNIPPET_CHARS]))
+            yield pd.DataFrame(rows, columns=schema.fieldNames())
 
-    return texts.select(F.col(source_col).alias(source_col), F.col(id_col).cast("bigint").alias(id_col),
-                        F.col(text_col)).mapInPandas(scan, _MATCH_SCHEMA)
+    return texts.select(*keys, text_col).mapInPandas(scan, schema)

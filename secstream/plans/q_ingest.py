@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.dedup import latest_per_key
 from ..operators.ingest import accepted_documents, dead_letters, enrich_messages, flat_documents
+from ..session import checkpoint_dir
 from ..sources import envelope
+from ..sources.csv_logs import discover, read_csv_logs, write_keyed
 from ..sources.driver_events import raw_events
 from ..sources.tables import read_table
 from .registry import register
@@ -86,3 +91,50 @@ def ingest_nulls(spark, sf_dir):
     d = accepted_documents(_damaged_messages(spark, sf_dir))
     return d.select("event_id", "log_type", F.col("attributes.user_id").alias("user_id"),
                     F.col("labels.evil").alias("evil"), F.col("labels.sus").alias("sus"))
+
+
+_FAMILY_COLUMNS = {
+    "dns": ("DnsTimestamp", "SourceIP", "DestinationIP", "DnsQuery", "DnsResponseCode", "sus", "evil"),
+    "standard_host": ("timestamp", "processId", "parentProcessId", "userId", "processName", "hostName", "eventId",
+                      "eventName", "argsNum", "returnValue", "args", "sus", "evil"),
+    "deep_kernel": ("timestamp", "processId", "threadId", "parentProcessId", "userId", "mountNamespace", "processName",
+                    "hostName", "eventId", "eventName", "stackAddresses", "argsNum", "returnValue", "args", "sus", "evil"),
+}
+
+
+def _csv_folder(spark, sf_dir) -> str:
+    """The events as CSV files of the three families, each with its own header."""
+    folder = os.path.join(checkpoint_dir(spark), "csv", uuid.uuid4().hex)
+    raw = raw_events(read_table(spark, sf_dir, "events"))
+    for (source, family) in (("events-dns.csv", "dns"), ("events-training.csv", "deep_kernel"),
+                             ("events-host.csv", "standard_host")):
+        rows = raw.filter(F.col("source_file") == source)
+        rows.select(*[F.col(f"raw.{c}").alias("Timestamp" if c == "DnsTimestamp" else c) for c in _FAMILY_COLUMNS[family]]) \
+            .write.option("header", True).option("escape", '"').csv(f"{folder}/{source}")
+    return folder
+
+
+def _csv_sink(spark, sf_dir):
+    """CSV files -> records -> keyed messages in a sink; (sink path, delivery report)."""
+    folder = _csv_folder(spark, sf_dir)
+    rows = read_csv_logs(spark, discover(spark, folder=folder))
+    return f"{folder}/messages", write_keyed(envelope.encode(rows), f"{folder}/messages")
+
+
+_CSV_COLUMNS = [c for c in ENRICHED_COLUMNS if c != "event_id"]
+
+
+@register("csv_ingest", with_docs(f"SELECT {', '.join(_CSV_COLUMNS)} FROM docs"))
+def csv_ingest(spark, sf_dir):
+    """S1 + S2 + S5: CSV files of three headers -> keyed messages -> the documents of ``ingest_enriched``."""
+    path, _ = _csv_sink(spark, sf_dir)
+    # the files carry no row id; ``event_id`` here keeps the name of the raw field apart
+    messages = spark.read.parquet(path).withColumn("event_id", F.lit(None).cast("bigint"))
+    return flat_documents(enrich_messages(messages)).select(*_CSV_COLUMNS)
+
+
+@register("csv_delivery", with_docs("""
+SELECT source_file, count(*) AS delivered, (SELECT count(*) FROM docs) AS rows_read FROM docs GROUP BY source_file"""))
+def csv_delivery(spark, sf_dir):
+    """Per file the rows that the sink holds, beside the rows read in all."""
+    return _csv_sink(spark, sf_dir)[1]

@@ -88,8 +88,7 @@ def pii_clean(spark, sf_dir):
 def pii_matches(spark, sf_dir):
     """G-1 with offsets and 20-character snippets (Python regex engine in
     Arrow batches; no SQL oracle: checked against brute force in tests)."""
-    t = _texts(spark, sf_dir).select("source", "item_id", "text")
-    return P.pii_matches(t)
+    return P.pii_matches(_texts(spark, sf_dir), ("source", "item_id", "sub_id"))
 
 
 _CONV_STATS_SQL = """stats AS (

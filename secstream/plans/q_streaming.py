@@ -16,29 +16,29 @@ from ..session import checkpoint_dir
 from ..sources import envelope
 from ..sources.driver_events import raw_events
 from ..sources.tables import read_table
-from ..streaming.incidents import run_incident_stream
+from ..streaming.incidents import UNTIMED, read_groups, read_kept, run_incident_stream
 from ..streaming.ingest import MESSAGE_SCHEMA, message_stream, run_ingest
 from ..streaming.ratelimit import rate_limit_stream
 from . import q_incidents, q_ingest, q_policy
 from .registry import ORACLES, register
-from .sql_events import ENRICHED_COLUMNS
+from .sql_events import ENRICHED_COLUMNS, with_docs
 
-FILES = 4
+BATCHES, FILES_PER_BATCH = 4, 4
 
 
 def _scratch(spark, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def _write_in_order(df, path: str, order_col: str, files: int = FILES) -> None:
-    """Write ``files`` files in ``order_col`` order, one append per range, so a
-    file source replays them in arrival order."""
+def _write_in_order(df, path: str, order_col: str, batches: int = BATCHES) -> None:
+    """Write one group of ``FILES_PER_BATCH`` files per range of ``order_col``,
+    so a file source replays the ranges in order. Rows without a value come first."""
     bounds = df.agg(F.min(order_col), F.max(order_col)).first()
-    lo, hi = bounds[0], bounds[1]
-    step = (hi - lo) // files + 1
-    for i in range(files):
-        part = df.filter((F.col(order_col) >= lo + i * step) & (F.col(order_col) < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
+    lo, hi = bounds[0] or 0, bounds[1] or 0
+    step = (hi - lo) // batches + 1
+    number = F.coalesce(F.floor((F.col(order_col) - lo) / step).cast("int"), F.lit(0))
+    for i in range(batches):
+        df.filter(number == i).repartition(FILES_PER_BATCH).write.mode("append").parquet(path)
 
 
 def _messages(spark, sf_dir, replay: bool):
@@ -56,25 +56,45 @@ def stream_ingest(spark, sf_dir):
     micro-batches into the upserted document table; equals the batch result."""
     base = _scratch(spark, "ingest")
     _write_in_order(_messages(spark, sf_dir, replay=True), f"{base}/src", "seq")
-    run_ingest(spark, f"{base}/src", f"{base}/docs", f"{base}/ckpt")
+    run_ingest(spark, f"{base}/src", f"{base}/docs", f"{base}/ckpt", FILES_PER_BATCH)
     return flat_documents(read_upserted(spark, f"{base}/docs")).select(*ENRICHED_COLUMNS)
 
 
-_STREAM_INC_SQL = ORACLES["incident_groups"].replace(
-    q_incidents._GROUPS_SELECT.strip(),
-    "SELECT group_id, host, bucket, event_count, evil_count, sus_count FROM grp2")
+UNTIMED_EVERY, LATE_EVERY = 50, 20
+_DISTURBED = f"""docs2 AS (SELECT * REPLACE (
+  CASE WHEN event_id % {UNTIMED_EVERY} = 7 THEN NULL ELSE event_ts END AS event_ts,
+  CASE WHEN event_id % {UNTIMED_EVERY} = 7 THEN 0.0 ELSE epoch END AS epoch) FROM docs),
+"""
+_STREAM_INC_SQL = with_docs(q_incidents._GROUPS_SELECT,
+                            _DISTURBED + q_incidents._INC_CTE.replace("FROM docs)", "FROM docs2)"))
+
+
+def _incident_stream(spark, sf_dir) -> str:
+    """Event messages in which some have no readable time and some arrive in the last batch."""
+    base = _scratch(spark, "incidents")
+    m = _messages(spark, sf_dir, replay=False)
+    untimed = F.col("event_id") % UNTIMED_EVERY == 7
+    m = m.withColumn("value", F.when(untimed, F.regexp_replace(
+        "value", '("[Tt]imestamp":)"[^"]*"', '$1"some time"')).otherwise(F.col("value")))
+    last = m.agg(F.max("seq")).first()[0]
+    m = m.withColumn("arrival", F.when(F.col("event_id") % LATE_EVERY == 3, F.lit(last)).otherwise(F.col("seq")))
+    _write_in_order(m, f"{base}/src", "arrival")
+    docs = enrich_messages(message_stream(spark, f"{base}/src", FILES_PER_BATCH))
+    run_incident_stream(spark, docs, f"{base}/incidents", f"{base}/ckpt", q_incidents.WINDOW, "1 day")
+    return f"{base}/incidents"
 
 
 @register("stream_incidents", _STREAM_INC_SQL)
 def stream_incidents(spark, sf_dir):
-    """One-day tumbling windows per host on the event stream (watermark
-    1 day, update mode into an upserted group table); equals the batch groups."""
-    base = _scratch(spark, "incidents")
-    _write_in_order(_messages(spark, sf_dir, replay=False), f"{base}/src", "seq")
-    docs = enrich_messages(message_stream(spark, f"{base}/src"))
-    run_incident_stream(spark, docs, f"{base}/groups", f"{base}/ckpt", q_incidents.WINDOW, "1 day")
-    g = read_upserted(spark, f"{base}/groups")
-    return g.select("group_id", "host", "bucket", "event_count", "evil_count", "sus_count")
+    """One-day tumbling windows per host, merged micro-batch by micro-batch; equals the
+    batch groups with untimed (bucket 0) and late events counted."""
+    return read_groups(spark, _incident_stream(spark, sf_dir))
+
+
+@register("stream_untimed", with_docs(f"SELECT event_id, log_type FROM docs WHERE event_id % {UNTIMED_EVERY} = 7"))
+def stream_untimed(spark, sf_dir):
+    """The events without a readable time, kept in their own table as well."""
+    return read_kept(spark, _incident_stream(spark, sf_dir), UNTIMED).select("event_id", "log_type")
 
 
 @register("stream_rate_limit", ORACLES["rate_limit"])
@@ -84,7 +104,7 @@ def stream_rate_limit(spark, sf_dir):
     base = _scratch(spark, "ratelimit")
     calls = read_table(spark, sf_dir, "events", "event_id", "user_id", "ts")
     _write_in_order(calls, f"{base}/src", "event_id")
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{base}/src")
     out = rate_limit_stream(stream, "user_id", "ts", "event_id", q_policy.RL_RATE_PER_MINUTE, q_policy.RL_BURST)
     q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
          .outputMode("append").trigger(availableNow=True).start())

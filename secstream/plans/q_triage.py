@@ -229,17 +229,19 @@ def _splits(spark, sf_dir):
 
 @register("ml_score")
 def ml_score(spark, sf_dir):
-    """M7 + M9 + M14: train the evil model (GBT, class weight, early stopping
-    on the validation split), pick the max-F1 threshold on validation, score
-    the test split (rows-only: model output is not SQL)."""
+    """M7 + M9 + M10 + M14: train both models (GBT, class weight, early stopping on the
+    validation split), pick the max-F1 threshold for sus and the precision one for evil
+    on validation, score the test split (rows-only: model output is not SQL)."""
     from ..operators import models as MD
     s = _splits(spark, sf_dir)
-    tr, va, te = (s.filter(F.col("split") == x) for x in ("train", "val", "test"))
-    model = MD.train(tr, va, "evil", MD.EVIL_PARAMS, max_rounds=60)
-    val_scored = MD.positive_probability(model, va, "p")
-    thr = TR.threshold_max_f1(TR.pr_curve(val_scored, "p", "evil")).first()["threshold"]
-    out = MD.score(model, te, float(thr), "evil")
-    return out.select("doc_id", "evil", "evil_probability", "evil_flag", "evil_threshold")
+    tr, va, out = (s.filter(F.col("split") == x) for x in ("train", "val", "test"))
+    for label, params in (("sus", MD.SUS_PARAMS), ("evil", MD.EVIL_PARAMS)):
+        model = MD.train(tr, va, label, params, max_rounds=60)
+        curve = TR.pr_curve(MD.positive_probability(model, va, "p"), "p", label)
+        best = TR.threshold_max_f1(curve) if label == "sus" else TR.threshold_for_precision(curve)
+        out = MD.score(model, out, float(best.first()["threshold"]), label)
+    return out.select("doc_id", "sus", "evil", *[f"{n}_{f}" for n in ("sus", "evil")
+                                                 for f in ("probability", "flag", "threshold")])
 
 
 @register("ml_search")

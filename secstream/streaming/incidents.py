@@ -1,45 +1,83 @@
-"""Tumbling-window incident counts on a stream of enriched documents.
-
-``groupBy(window(event_time, w), host)`` with a watermark bounds the state;
-the query runs in update mode and every micro-batch upserts the changed
-groups into the group table, so the table always holds complete counts
-(an append-mode window would only emit windows already closed, G23).
-Events without a parseable time belong to bucket 0 (G6) and would be
-dropped as late behind the watermark (G7): they are written to a separate
-``untimed`` table by the same sink instead.
+"""Tumbling-window incident groups kept up to date by a stream of documents.
+
+Every micro-batch aggregates its own events per (host, window) and adds the
+partial counts, bounds and flags to the group table in one replay-safe merge.
+The table is the state: there is no state store that grows, no watermark that
+drops rows, and after any order of arrival the groups equal the batch result,
+late events and those without a parseable time (bucket 0) included. The group
+table is bucketed by window day, so a batch reads and rewrites only the days
+its events fall on; a large day is split over many files.
+
+Rows worth a look are also kept as they came: ``untimed`` holds the documents
+without a time, ``late_events`` those more than ``watermark`` behind the newest event of
+the batches before theirs; a batch writes its own folder of either, and again when
+it is replayed. ``clock`` holds that newest event time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import upsert_parquet
-from ..operators.incidents import incident_events
+from ..operators.dedup import merge_parquet, read_manifest, read_upserted
+from ..operators.incidents import add_partials, finish_groups, group_partials
+
+GROUPS, UNTIMED, LATE, CLOCK = "groups", "untimed", "late_events", "clock"
+
+
+def _day_bucket(window_minutes: int) -> Column:
+    return F.concat(F.lit("d"), F.floor(F.col("bucket") * window_minutes / 1440).cast("string"))
 
 
-def window_counts(docs: DataFrame, window_minutes: int, watermark: str) -> DataFrame:
-    ev = incident_events(docs, window_minutes).filter(F.col("event_time").isNotNull())
-    w = F.window(F.col("event_time"), f"{window_minutes} minutes")
-    g = (ev.withWatermark("event_time", watermark).groupBy(w.alias("w"), F.col("host"))
-         .agg(F.count(F.lit(1)).alias("event_count"), F.count_if(F.col("is_evil")).alias("evil_count"),
-              F.count_if(F.col("is_sus")).alias("sus_count"), F.max("is_sus_risky").alias("risky")))
-    bucket = F.floor(F.unix_seconds(F.col("w.start")) / F.lit(60 * window_minutes)).cast("bigint")
-    return g.select(F.substring(F.md5(F.concat_ws(":", F.col("host"), bucket.cast("string"))), 1, 12).alias("group_id"),
-                    "host", bucket.alias("bucket"), F.col("w.start").alias("window_start"),
-                    "event_count", "evil_count", "sus_count", "risky")
+def _newest(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    return (new if old is None else old.unionByName(new)).groupBy("name").agg(F.max("newest").alias("newest"))
 
 
 def run_incident_stream(spark: SparkSession, docs_stream: DataFrame, target_path: str, checkpoint: str,
                         window_minutes: int = 10, watermark: str = "1 day") -> None:
-    counts = window_counts(docs_stream, window_minutes, watermark)
+    """Drain ``docs_stream`` into the four tables under ``target_path``."""
+    def table(name: str) -> str:
+        return f"{target_path}/{name}"
+
+    run = f"r{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"  # batch ids count per checkpoint
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn("_v", F.lit(batch_id))
-        upsert_parquet(spark, keyed, target_path, key="group_id", order="_v", batch_id=batch_id)
+        def write(rows: DataFrame, name: str) -> None:
+            rows.write.mode("overwrite").parquet(f"{table(name)}/run={run}/batch={batch_id}")
+
+        docs = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            done = {"batch_id": batch_id, "writer": checkpoint}
+            write(docs.filter(F.col("event_time").isNull()), UNTIMED)
+            # the clock moves last: a replayed batch sees the one it saw before
+            seen = None
+            if read_manifest(spark, table(CLOCK)).schema is not None:
+                seen = read_upserted(spark, table(CLOCK)).first()
+            late = F.lit(False) if seen is None or seen["newest"] is None else (
+                F.col("event_time") < F.lit(seen["newest"]) - F.expr(f"INTERVAL {watermark}"))
+            write(docs.filter(late), LATE)
+            merge_parquet(spark, group_partials(docs, window_minutes), table(GROUPS), _day_bucket(window_minutes),
+                          lambda old, new: new if old is None else add_partials(old.unionByName(new)), **done)
+            clock = docs.agg(F.max("event_time").alias("newest")).select(F.lit("events").alias("name"), "newest")
+            merge_parquet(spark, clock, table(CLOCK), F.col("name"), _newest, **done)
+        finally:
+            docs.unpersist()
 
-    q = (counts.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    q = (docs_stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+
+
+def read_groups(spark: SparkSession, target_path: str) -> DataFrame:
+    """The groups with bounds and severity, as the batch operator gives them."""
+    return finish_groups(read_upserted(spark, f"{target_path}/{GROUPS}"))
+
+
+def read_kept(spark: SparkSession, target_path: str, name: str) -> DataFrame:
+    """The documents kept under ``UNTIMED`` or ``LATE``."""
+    return spark.read.parquet(f"{target_path}/{name}").drop("run", "batch")

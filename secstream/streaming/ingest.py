@@ -38,7 +38,8 @@ def run_ingest(spark: SparkSession, source_dir: str, target_path: str, checkpoin
         docs = transform(docs)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        upsert_parquet(spark, batch, target_path, key="doc_id", order="seq", batch_id=batch_id)
+        upsert_parquet(spark, batch, target_path, key="doc_id", order="seq", batch_id=batch_id,
+                       writer=checkpoint)
 
     q = (docs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
