@@ -49,8 +49,8 @@ from .components import components
 SHINGLE_WORDS = 5
 HOT_ROWS = 1_000_000
 HOT_COUNT = 64
-BLOCK_SHINGLES = 4_000_000
-BUCKET_SHINGLES = 2_500_000
+BLOCK_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 1_500_000
 MEMBERS_PER_TASK = 2_000
 UNIT_VERTICES = 1_000
 UNIT_SHINGLES = 1_000_000
