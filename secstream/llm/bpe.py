@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 MAX_VOCABULARY_BYTES = 64 << 20
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
+#: Text volume encoded together: its matches are held as Python strings, some 15 times its bytes.
+ENCODE_BYTES = 1 << 20
 LOCKSTEP_BYTES = 64
 BLOCK_ROWS = 8_192
 NONE = np.int64(1) << 62
@@ -269,8 +271,9 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
                         *(["ids array<int>, decoded binary"] if ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this Python worker left
         voc, encoder = _loaded(content.value, pattern)
-        for part in text_slices(batches, "__text"):
+        for part in text_slices(batches, "__text", ENCODE_BYTES):
             counts, id_hashes, byte_hashes, packed_ids, decoded = [], [], [], [], []
             texts = [t or "" for t in part.column("__text").to_pylist()]
             for packed in encoder.encode_block(texts):
