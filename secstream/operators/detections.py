@@ -13,21 +13,29 @@ from pyspark.sql import functions as F
 
 from ..functions.features import HIGH_ENTROPY, NETWORK_PATTERN, has_pattern
 from ..functions.timeparse import epoch_seconds, parse_iso
-from .incidents import incident_groups
+from .incidents import incident_events, incident_groups, severity_from_flags, severity_rank
+from .ranking import exact_rank
 
 # ---- fixed values (ours, from the runbook prose) ---------------------------
-PERSISTENCE_PATTERN = r"/etc/cron|/etc/systemd|/etc/init\.d|\.bashrc|/etc/rc\.local"
-INTERACTIVE_SHELL_PATTERN = r"bash -i|/bin/sh -i|-c id|pty\.spawn"
+PERSISTENCE_PATTERN = (r"/etc/cron|/var/spool/cron|/etc/systemd/system|/usr/lib/systemd/system|/etc/init\.d|/etc/rc\.local"
+                       r"|/etc/profile\.d|/etc/environment|authorized_keys|\.bashrc")
+# an interactive shell, a shell told to run a command, or a network tool told to execute one
+INTERACTIVE_SHELL_PATTERN = r"(ba|z|/)sh -(i|c)|pty\.spawn|(nc|ncat|netcat|socat) .*-e"
 IPV4 = r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})"
 DNS_ALLOWLIST = ("example.com", "amazonaws.com")
+WEB_SERVERS = ("nginx", "apache", "apache2", "httpd", "gunicorn", "node")
+DEBUGGERS = ("gdb", "strace", "lldb")
+SHELLS = ("sh", "bash", "dash", "zsh")
 # ---------------------------------------------------------------------------
 
 
 def cold_store_write(docs: DataFrame, path: str) -> None:
-    """Date-partitioned copy of every event (year=/month=/day=)."""
+    """Date-partitioned copy of every event (year=/month=/day=). Rows are gathered by day for
+    few files; a day larger than the advisory size is split over several tasks (adaptive rebalance)."""
     out = docs.withColumn("year", F.year("event_time")).withColumn("month", F.month("event_time")) \
         .withColumn("day", F.dayofmonth("event_time"))
-    out.repartition("year", "month", "day").write.mode("overwrite").partitionBy("year", "month", "day").parquet(path)
+    out.hint("rebalance", F.col("year"), F.col("month"), F.col("day")).write.mode("overwrite") \
+        .partitionBy("year", "month", "day").parquet(path)
 
 
 def forensics(spark, path: str, as_of: str, days: int, event_name: str = "execve") -> DataFrame:
@@ -83,6 +91,10 @@ def rule_findings(host_docs: DataFrame) -> DataFrame:
         ("persistence_path", has_pattern(args, PERSISTENCE_PATTERN) == 1),
         ("network_external", (has_pattern(args, NETWORK_PATTERN) == 1) & external),
         ("interactive_shell", has_pattern(args, INTERACTIVE_SHELL_PATTERN) == 1),
+        ("account_file", has_pattern(args, r"/etc/(passwd|shadow|sudoers)") == 1),
+        ("escalation_tool", has_pattern(args, r"\b(su|sudo|pkexec)\b") == 1),
+        ("process_memory", (has_pattern(args, r"/proc/\d+/mem") == 1) | F.coalesce(
+            (F.col("event_name") == "ptrace") & ~F.col("attributes.process_name").isin(*DEBUGGERS), F.lit(False))),
     ]
     hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
     f = host_docs.select(F.col("attributes.host_name").alias("host"), F.explode(hits).alias("rule"))
@@ -114,6 +126,82 @@ def shared_credentials(host_docs: DataFrame, window_minutes: int = 1440, min_hos
     return g.filter(F.col("hosts") >= min_hosts)
 
 
+def shared_credentials_sliding(host_docs: DataFrame, window_minutes: int = 1440, slide_minutes: int = 60,
+                               min_hosts: int = 2) -> DataFrame:
+    """D6 over sliding windows, so a use on both sides of midnight is found: two
+    uses at most ``window - slide`` apart always share a window. Events are added
+    up per (credential, host, slide) before a row is repeated for its windows, so
+    a credential in constant use ships one row per host and slide."""
+    if slide_minutes < 1 or window_minutes % slide_minutes:
+        raise ValueError("the window must be a multiple of the slide")
+    steps = window_minutes // slide_minutes
+    d = host_docs.filter(F.col("attributes.user_id").isNotNull() & F.col("event_time").isNotNull()).select(
+        F.floor(epoch_seconds(F.col("event_time")) / (60 * slide_minutes)).cast("bigint").alias("slot"),
+        F.col("attributes.user_id").alias("user_id"), F.col("attributes.host_name").alias("host"))
+    slots = d.groupBy("slot", "user_id", "host").agg(F.count(F.lit(1)).alias("n"))
+    w = slots.select("user_id", "host", "n", F.explode(F.sequence(F.col("slot") - (steps - 1), F.col("slot")))
+                     .alias("first_slot"))
+    per_host = w.groupBy("first_slot", "user_id", "host").agg(F.sum("n").alias("n"))
+    g = per_host.groupBy("first_slot", "user_id").agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("events"))
+    return g.filter(F.col("hosts") >= min_hosts)
+
+
+def exec_after_write(host_docs: DataFrame, keys: dict[str, Column], minutes: int = 5) -> DataFrame:
+    """D7, second half: each execution with the last write of the same key in the
+    ``minutes`` before it. A write is put into its time bucket and the next one, so
+    the ordered pass runs per (key, bucket): a busy host is split by time."""
+    width = 60 * minutes
+    d = host_docs.filter(F.col("event_name").isin("write", "execve", "execveat") & F.col("event_time").isNotNull()).select(
+        "doc_id", *[c.alias(n) for n, c in keys.items()], (F.col("event_name") == "write").alias("_w"),
+        epoch_seconds(F.col("event_time")).alias("_t"))
+    own = F.floor(F.col("_t") / width).cast("bigint")
+    d = d.withColumn("_slot", F.explode(F.when(F.col("_w"), F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*keys, "_slot").orderBy("_t", F.col("_w").desc(), "doc_id") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_w"), F.struct(F.col("doc_id").alias("id"), F.col("_t").alias("t"))), True).over(w)
+    out = d.withColumn("_last", last).filter(~F.col("_w") & (F.col("_t") - F.col("_last.t") <= width))
+    return out.select(F.col("doc_id").alias("exec_id"), F.col("_last.id").alias("write_id"), *keys,
+                      F.round(F.col("_t") - F.col("_last.t"), 3).alias("seconds"))
+
+
+def process_parents(host_docs: DataFrame, pid: Column, parent_pid: Column) -> DataFrame:
+    """Each event with the latest earlier event of its parent process on the same
+    host, as one ordered pass over (host, process id) instead of a self join that
+    would list every earlier event. ``root_from_user``: root below a non-root
+    parent; ``shell_from_web``: a shell below a web server."""
+    base = host_docs.filter(F.col("event_time").isNotNull()).select(
+        "doc_id", F.col("attributes.host_name").alias("host"), pid.alias("_pid"), parent_pid.alias("_ppid"),
+        epoch_seconds(F.col("event_time")).alias("_t"), F.col("attributes.user_id").alias("user_id"),
+        F.col("attributes.process_name").alias("process_name"))
+    me = F.struct("doc_id", "user_id", "process_name")
+    nothing = F.lit(None).cast(base.select(me).schema[0].dataType)
+    sides = F.array(F.struct(F.col("_pid").alias("key"), me.alias("parent"), nothing.alias("child")),
+                    F.struct(F.col("_ppid").alias("key"), nothing.alias("parent"), me.alias("child")))
+    both = base.select("host", "_t", "doc_id", F.inline(sides)).filter(F.col("key").isNotNull())
+    # at one instant parents come first, in the order of their ids
+    w = Window.partitionBy("host", "key").orderBy("_t", F.col("child").isNotNull(), "doc_id") \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    j = both.withColumn("p", F.last("parent", True).over(w)).filter(F.col("child").isNotNull() & F.col("p").isNotNull())
+    c, p = (lambda n: F.col(f"child.{n}")), (lambda n: F.col(f"p.{n}"))
+    return j.select(
+        c("doc_id").alias("doc_id"), p("doc_id").alias("parent_id"), "host",
+        F.coalesce((c("user_id") == 0) & (p("user_id") != 0), F.lit(False)).alias("root_from_user"),
+        F.coalesce(c("process_name").isin(*SHELLS) & p("process_name").isin(*WEB_SERVERS), F.lit(False))
+        .alias("shell_from_web"))
+
+
+def exact_quantiles(df: DataFrame, key: str, value: str, row_id: str, probabilities: dict[str, float]) -> DataFrame:
+    """D11, exact: the value of rank ceil(p * n) per key. Ranks come from a range
+    sort with per-task offsets, so no key's values are gathered in one task."""
+    d = df.filter(F.col(value).isNotNull()).select(key, value, row_id)
+    n = d.groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    r = exact_rank(d, [key], [value, row_id], "_r")
+    j = r.join(n, F.col(key).eqNullSafe(F.col("_k")))
+    picks = [F.max(F.when(F.col("_r") == F.greatest(F.ceil(F.lit(p) * F.col("_n")), F.lit(1)), F.col(value))).alias(name)
+             for name, p in probabilities.items()]
+    return j.groupBy(key).agg(*picks)
+
+
 def unmatched_mmaps(host_docs: DataFrame) -> DataFrame:
     """mmap/brk allocations without a matching munmap per host."""
     e = F.col("event_name")
@@ -124,12 +212,27 @@ def unmatched_mmaps(host_docs: DataFrame) -> DataFrame:
 
 def merge_incidents(docs: DataFrame, window_minutes: int = 10, max_gap_buckets: int = 3) -> DataFrame:
     """Gaps-and-islands over each host's incident groups: groups whose
-    buckets are at most ``max_gap_buckets`` apart form one merged incident."""
-    g = incident_groups(docs, window_minutes)
-    w = Window.partitionBy("host").orderBy("bucket")
+    buckets are at most ``max_gap_buckets`` apart form one merged incident. The
+    untimed group (bucket 0) is far from every real bucket: an incident of its own."""
+    return _islands(incident_groups(docs, window_minutes), ["host"], max_gap_buckets)
+
+
+def merge_by_category(docs: DataFrame, category: Column, window_minutes: int = 10, max_gap_buckets: int = 3) -> DataFrame:
+    """D8 with the category rule: only windows of one host and one category merge.
+    Events are first added up per (host, category, bucket), so the sorted window
+    holds one row per time bucket, not one per event."""
+    ev = incident_events(docs, window_minutes).withColumn("category", category)
+    sev = severity_from_flags(F.max("is_evil"), F.max("is_sus_risky"), F.max("is_sus"))
+    g = ev.groupBy("host", "category", "bucket").agg(F.count(F.lit(1)).alias("event_count"),
+                                                     severity_rank(sev).alias("severity_rank"))
+    return _islands(g, ["host", "category"], max_gap_buckets)
+
+
+def _islands(groups: DataFrame, keys: list[str], max_gap_buckets: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("bucket")
     brk = F.when(F.col("bucket") - F.lag("bucket").over(w) <= max_gap_buckets, 0).otherwise(1)
-    g = g.withColumn("_b", brk).withColumn("island", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy("host", "island").agg(
+    g = groups.withColumn("_b", brk).withColumn("island", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy(*keys, "island").agg(
         F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"),
         F.count(F.lit(1)).alias("groups"), F.sum("event_count").alias("events"), F.max("severity_rank").alias("worst"))
 

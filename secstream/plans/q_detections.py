@@ -88,7 +88,17 @@ SELECT rule, host, count(*) AS hits FROM (
       AND regexp_extract(coalesce(args, ''), '{_IP}', 0) <> '' AND NOT coalesce({_PRIVATE}, FALSE)
   UNION ALL
   SELECT 'interactive_shell', host_name FROM docs
-    WHERE {_HOST} AND regexp_matches(coalesce(args, ''), '(?i){D.INTERACTIVE_SHELL_PATTERN}'))
+    WHERE {_HOST} AND regexp_matches(coalesce(args, ''), '(?i){D.INTERACTIVE_SHELL_PATTERN}')
+  UNION ALL
+  SELECT 'account_file', host_name FROM docs
+    WHERE {_HOST} AND regexp_matches(coalesce(args, ''), '(?i)/etc/(passwd|shadow|sudoers)')
+  UNION ALL
+  SELECT 'escalation_tool', host_name FROM docs
+    WHERE {_HOST} AND regexp_matches(coalesce(args, ''), '(?i)\\b(su|sudo|pkexec)\\b')
+  UNION ALL
+  SELECT 'process_memory', host_name FROM docs
+    WHERE {_HOST} AND (regexp_matches(coalesce(args, ''), '(?i)/proc/\\d+/mem')
+      OR (event_name = 'ptrace' AND process_name NOT IN ('gdb', 'strace', 'lldb'))))
 GROUP BY rule, host"""))
 def rule_findings(spark, sf_dir):
     """Persistence paths, network tools to external addresses, interactive shells."""
@@ -144,7 +154,7 @@ SELECT host, island, min(bucket) AS first_bucket, max(bucket) AS last_bucket, co
     SELECT host, bucket, event_count,
       CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS sev,
       CASE WHEN bucket - lag(bucket) OVER (PARTITION BY host ORDER BY bucket) <= 3 THEN 0 ELSE 1 END AS brk
-    FROM grp2 WHERE bucket > 0))
+    FROM grp2))
 GROUP BY host, island""", _MERGE_CTE))
 def incident_merge(spark, sf_dir):
     """10-minute incident groups of a host merged when at most 30 minutes apart."""
@@ -154,6 +164,80 @@ def incident_merge(spark, sf_dir):
                       "worst")
 
 
+@register("incident_merge_category", with_docs("""
+SELECT host, category, island, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS groups,
+  sum(event_count) AS events, max(sev) AS worst FROM (
+  SELECT *, sum(brk) OVER (PARTITION BY host, category ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN bucket - lag(bucket) OVER (PARTITION BY host, category ORDER BY bucket) <= 3 THEN 0 ELSE 1 END
+      AS brk FROM (
+      SELECT host, coalesce(feat_event_category, log_type) AS category, bucket, count(*) AS event_count,
+        CASE WHEN bool_or(is_evil) THEN 4 WHEN bool_or(is_sus_risky) THEN 3 WHEN bool_or(is_sus) THEN 2 ELSE 1 END AS sev
+      FROM inc0 GROUP BY ALL)))
+GROUP BY host, category, island""", _MERGE_CTE))
+def incident_merge_category(spark, sf_dir):
+    """Windows of one host and one event category merged when at most 30 minutes apart."""
+    cat = F.coalesce(F.col("features.feat_event_category"), F.col("log_type"))
+    out = D.merge_by_category(event_docs(spark, sf_dir), cat, 10, 3)
+    return out.select("host", "category", *[F.col(c).cast("bigint").alias(c) for c in
+                                            ("island", "first_bucket", "last_bucket", "groups", "events")], "worst")
+
+
+@register("shared_credential_sliding", with_docs(f"""
+SELECT first_slot, user_id, count(*) AS hosts, CAST(sum(n) AS BIGINT) AS events FROM (
+  SELECT slot - step AS first_slot, user_id, host_name, count(*) AS n
+  FROM (SELECT CAST(floor(epoch / 3600.0) AS BIGINT) AS slot, user_id, host_name FROM docs
+        WHERE {_HOST} AND user_id IS NOT NULL), (SELECT unnest(generate_series(0, 23)) AS step)
+  GROUP BY ALL)
+GROUP BY first_slot, user_id HAVING count(*) >= 2"""))
+def shared_credential_sliding(spark, sf_dir):
+    """One credential on at least two hosts within 24 hours, windows sliding by the hour."""
+    docs = event_docs(spark, sf_dir).filter(F.col("log_attribute").isNull())
+    return D.shared_credentials_sliding(docs, 1440, 60, 2)
+
+
+@register("exec_after_write", with_docs(f"""
+SELECT exec_id, write_id, host, round(seconds, 3) AS seconds FROM (
+  SELECT e.doc_id AS exec_id, w.doc_id AS write_id, e.host_name AS host, e.epoch - w.epoch AS seconds,
+    row_number() OVER (PARTITION BY e.doc_id ORDER BY w.epoch DESC, w.doc_id DESC) AS r
+  FROM docs e JOIN docs w ON e.host_name = w.host_name AND w.epoch <= e.epoch AND e.epoch - w.epoch <= 86400
+  WHERE e.event_name = 'execve' AND w.event_name = 'write' AND e.{_HOST} AND w.{_HOST}) WHERE r = 1"""))
+def exec_after_write(spark, sf_dir):
+    """Executions with the last write on the same host in the day before (events are sparse here)."""
+    docs = event_docs(spark, sf_dir).filter(F.col("log_attribute").isNull())
+    return D.exec_after_write(docs, {"host": F.col("attributes.host_name")}, 1440)
+
+
+@register("process_parents", with_docs(f"""
+SELECT doc_id, parent_id, host, root_from_user, shell_from_web FROM (
+  SELECT c.doc_id, p.doc_id AS parent_id, c.host_name AS host,
+    coalesce(c.user_id = 0 AND p.user_id <> 0, FALSE) AS root_from_user,
+    c.process_name IN ('sh', 'bash', 'dash', 'zsh')
+      AND p.process_name IN ('nginx', 'apache', 'apache2', 'httpd', 'gunicorn', 'node') AS shell_from_web,
+    row_number() OVER (PARTITION BY c.doc_id ORDER BY p.epoch DESC, p.doc_id DESC) AS r
+  FROM docs c JOIN docs p ON c.host_name = p.host_name AND p.attr_event_id % 10 = (c.attr_event_id + 3) % 10
+    AND p.epoch <= c.epoch
+  WHERE c.{_HOST} AND p.{_HOST}) WHERE r = 1"""))
+def process_parents(spark, sf_dir):
+    """The latest event of the parent process on the same host. The stand-in process
+    id is the last digit of the event id column, the parent's that plus three."""
+    docs = event_docs(spark, sf_dir).filter(F.col("log_attribute").isNull())
+    n = F.col("attributes.event_id")
+    return D.process_parents(docs, n % 10, (n + 3) % 10)
+
+
+@register("latency_quantiles_exact", """
+SELECT event_type, max(value) FILTER (WHERE r = greatest(ceil(CAST(0.5 AS DOUBLE) * n), 1)) AS p50,
+  max(value) FILTER (WHERE r = greatest(ceil(CAST(0.95 AS DOUBLE) * n), 1)) AS p95,
+  max(value) FILTER (WHERE r = greatest(ceil(CAST(0.99 AS DOUBLE) * n), 1)) AS p99
+FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r,
+        count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+GROUP BY event_type""")
+def latency_quantiles_exact(spark, sf_dir):
+    """Exact p50/p95/p99 of the value per event type."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "event_type", "value")
+    return D.exact_quantiles(ev, "event_type", "value", "event_id", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
 @register("counter_rate", """
 SELECT user_id, count(*) AS samples, round(sum(inc), 6) AS increase,
   round(CASE WHEN max(t) - min(t) > 0 THEN sum(inc) / ((max(t) - min(t)) / 3600.0) END, 6) AS rate_per_hour
