@@ -141,15 +141,18 @@ def merge_parquet(spark, updates: DataFrame, target_path: str, bucket: Column,
 
 
 def upsert_parquet(spark, updates: DataFrame, target_path: str, key: str, order: str,
-                   batch_id: int | None = None, prefix_chars: int = 2, writer: str = "") -> None:
-    """The last row per ``key`` of ``updates`` replaces the table's row of that key."""
+                   batch_id: int | None = None, prefix_chars: int = 2, writer: str = "",
+                   bucket: Column | None = None) -> None:
+    """The last row per ``key`` of ``updates`` replaces the table's row of that key. The
+    ``bucket`` is a function of the key alone; default: the first characters of an (md5) id."""
     def combine(old: DataFrame | None, new: DataFrame) -> DataFrame:
         last = latest_per_key(new, key, order)
         if old is None:
             return last
         return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
-    merge_parquet(spark, updates, target_path, id_bucket(key, prefix_chars), combine, batch_id, writer)
+    merge_parquet(spark, updates, target_path, id_bucket(key, prefix_chars) if bucket is None else bucket, combine,
+                  batch_id, writer)
 
 
 def read_upserted(spark, target_path: str, version: int | None = None) -> DataFrame:

@@ -34,6 +34,7 @@ def load_all() -> None:
         q_policy,
         q_search,
         q_similarity,
+        q_sinks,
         q_streaming,
         q_triage,
     )
