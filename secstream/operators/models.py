@@ -24,7 +24,8 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.features import MODEL_FEATURES
+from ..functions.features import MODEL_FEATURES, serving_features
+from .triage import encode_log_type
 
 FEATURE_COLS = (*MODEL_FEATURES, "log_type_code")
 
@@ -94,6 +95,21 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel
     return {n: PipelineModel.load(f"{path}/{n}") for n in meta["thresholds"]}, meta
 
 
+def serving_frame(events: DataFrame, classes: list[str]) -> DataFrame:
+    """X12 + M3 on events (…, log_type, attributes): the model's columns beside the event's own."""
+    typed = encode_log_type(events, classes).withColumn("_f", serving_features(F.col("log_type")))
+    return typed.select("*", *[F.col(f"_f.{f}").cast("double").alias(f) for f in MODEL_FEATURES]).drop("_f")
+
+
+def score_events(events: DataFrame, models: dict[str, PipelineModel], meta: dict) -> DataFrame:
+    """M14 + J5 + T7: the six result fields of each event, by the models and thresholds of one
+    bundle. The metadata enters as literals, so a batch and a stream share this plan."""
+    out = serving_frame(events, meta["classes"])
+    for name in models:
+        out = score(models[name], out, float(meta["thresholds"][name]), name)
+    return out.drop(*MODEL_FEATURES, "log_type_code")
+
+
 def random_search(train_df: DataFrame, label: str, trials: int = 4, max_rounds: int = 50,
                   seed: int = 42, parallelism: int = 4) -> DataFrame:
     """M13 + S19: random parameter sets over the reference's ranges, each fit

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.features import MODEL_FEATURES
+from .parse import KNOWN_LOG_TYPES
 from .ranking import exact_rank, running_sums
 
 # ---- fixed values (reference settings) -------------------------------------
@@ -49,9 +50,11 @@ def encode_log_type(df: DataFrame, classes: list[str], col: str = "log_type", ou
     return df.withColumn(out, expr)
 
 
-def fit_log_types(df: DataFrame, col: str = "log_type") -> list[str]:
-    """Distinct classes (a bounded, tiny result) for ``encode_log_type``."""
-    return sorted(r[0] for r in df.select(F.coalesce(F.col(col).cast("string"), F.lit("unknown"))).distinct().collect())
+def fit_log_types(df: DataFrame, col: str = "log_type", known: tuple[str, ...] = (*KNOWN_LOG_TYPES, "unknown")) -> list[str]:
+    """The ``known`` classes that occur, for ``encode_log_type``: at most ``len(known)`` names,
+    whatever texts the column holds (any other type is encoded like an unknown one)."""
+    present = df.agg(*[F.max(F.coalesce(F.col(col).cast("string"), F.lit("unknown")) == k).alias(k) for k in known]).first()
+    return sorted(k for k in known if present[k])
 
 
 def _hash_order(id_col: str, seed: int = SEED) -> Column:

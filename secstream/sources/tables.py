@@ -11,31 +11,25 @@ TABLES = (
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+READ_TASKS = "spark.secstream.read.tasks"
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Scan one table; a column list is applied right at the scan (ReadSchema).
 
-    ``spread``: when the scan yields fewer splits than the cluster has task
-    slots (a small table stored as one row group), the rows are spread
-    round-robin over ``defaultParallelism`` tasks so the per-row work
-    downstream uses every core. A large table already has at least that many
-    splits, so no shuffle is added where the data is big.
+    A file with one row group is one split, however many cores there are. Where the
+    tables are stored that way, a session may set ``spark.secstream.read.tasks`` to a
+    number of tasks over which every table read is spread; unset (the default, and
+    right for tables of many row groups) the scan is left as it is.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    if spread:
-        try:
-            slots = spark.sparkContext.defaultParallelism
-            splits = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - e.g. a Connect session without RDD access: keep the scan as is
-            return df
-        if splits < slots:
-            df = df.repartition(slots)
-    return df
+    tasks = int(spark.conf.get(READ_TASKS, "0"))
+    return df.repartition(tasks) if tasks > 0 else df

@@ -68,7 +68,7 @@ def test_bm25_against_formula(spark):
 
 def test_filter_pushed_to_scan(spark):
     from secstream.sources.tables import read_table
-    d = read_table(spark, SF, "documents", "doc_id", "lang", spread=False).filter(F.col("lang") == "en")
+    d = read_table(spark, SF, "documents", "doc_id", "lang").filter(F.col("lang") == "en")
     plan = d._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
