@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from ..operators.dedup import read_upserted
 from ..operators.ingest import flat_documents
 from ..operators.ingest import enrich_messages
+from ..operators.ranking import exact_rank
 from ..session import checkpoint_dir
 from ..sources import envelope
 from ..sources.driver_events import raw_events
 from ..sources.tables import read_table
 from ..streaming.incidents import UNTIMED, read_groups, read_kept, run_incident_stream
 from ..streaming.ingest import MESSAGE_SCHEMA, message_stream, run_ingest
-from ..streaming.ratelimit import rate_limit_stream
+from ..streaming.ratelimit import ROWS_PER_TRIGGER, rate_limit_stream
 from . import q_incidents, q_ingest, q_policy
 from .registry import ORACLES, register
 from .sql_events import ENRICHED_COLUMNS, with_docs
@@ -41,6 +42,21 @@ def _write_in_order(df, path: str, order_col: str, batches: int = BATCHES) -> No
         df.filter(number == i).repartition(FILES_PER_BATCH).write.mode("append").parquet(path)
 
 
+def _write_pieces(df, base: str, order_col: str, rows: int) -> None:
+    """As ``_write_in_order``, but in ranges of equal row counts, at most ``rows`` and at
+    most a share of 1/``BATCHES``: ranked and written once by piece, then copied piece by piece."""
+    total = df.count()
+    if not total:
+        return df.write.parquet(f"{base}/src")
+    size = min(rows, -(-total // BATCHES))
+    ranked = exact_rank(df, [], [order_col], "_r")
+    ranked.withColumn("piece", F.floor((F.col("_r") - 1) / size)).drop("_r") \
+        .write.partitionBy("piece").parquet(f"{base}/pieces")
+    for i in range(-(-total // size)):
+        part = df.sparkSession.read.schema(df.schema).parquet(f"{base}/pieces/piece={i}")
+        part.repartition(FILES_PER_BATCH).write.mode("append").parquet(f"{base}/src")
+
+
 def _messages(spark, sf_dir, replay: bool):
     raw = raw_events(read_table(spark, sf_dir, "events"))
     msgs = envelope.encode(raw).withColumn("seq", F.col("event_id") * 2)
@@ -99,11 +115,11 @@ def stream_untimed(spark, sf_dir):
 
 @register("stream_rate_limit", ORACLES["rate_limit"])
 def stream_rate_limit(spark, sf_dir):
-    """T3 + T4: the token bucket as keyed state across 4 micro-batches;
-    equals the batch walk."""
+    """T3 + T4: the token bucket as keyed state across micro-batches of at most
+    ``ROWS_PER_TRIGGER`` calls; equals the batch walk."""
     base = _scratch(spark, "ratelimit")
     calls = read_table(spark, sf_dir, "events", "event_id", "user_id", "ts")
-    _write_in_order(calls, f"{base}/src", "event_id")
+    _write_pieces(calls, base, "event_id", ROWS_PER_TRIGGER)
     stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{base}/src")
     out = rate_limit_stream(stream, "user_id", "ts", "event_id", q_policy.RL_RATE_PER_MINUTE, q_policy.RL_BURST)
     q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")

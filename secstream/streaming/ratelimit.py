@@ -2,8 +2,10 @@
 
 ``applyInPandasWithState`` keeps ``(tokens, last)`` per caller in the state
 store between micro-batches (RocksDB on a cluster); inside a micro-batch a
-caller's calls are sorted by (time, id) - bounded by the trigger size - and
-walked with the same function as the batch operator.
+caller's calls are sorted by (time, id) and walked, ``WALK_ROWS`` at a time, with
+the same function as the batch operator. The sort holds the ids and times of one
+caller in one micro-batch, so the source must bound a trigger by rows: the query
+feeds at most ``ROWS_PER_TRIGGER`` calls a trigger, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ OUTPUT = T.StructType([
     T.StructField("allowed", T.BooleanType()), T.StructField("available", T.DoubleType()),
     T.StructField("tokens", T.DoubleType()),
 ])
+#: Most calls of a trigger, and so of one caller in Python memory at a time.
+ROWS_PER_TRIGGER = 250_000
+WALK_ROWS = 10_000
 STATE = T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("last", T.LongType())])
 
 
@@ -34,17 +39,19 @@ def rate_limit_stream(calls: DataFrame, caller_col: str, time_col: str, id_col:
                         F.unix_micros(F.col(time_col).cast("timestamp")).alias("t_us"))
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["t_us", "id"], kind="stable")
+        batch = pd.concat([p[["id", "t_us"]] for p in pdfs], ignore_index=True).sort_values(["t_us", "id"], kind="stable")
         caller = key[0]
         carried = None
         if state.exists:
             tokens, last = state.get
             carried = {"caller": caller, "tokens": float(tokens), "last": int(last)}
-        allowed, before, after, new = bucket_walk(np.array([caller] * len(batch), dtype=object),
-                                                  batch["t_us"].to_numpy(), rate_per_sec, burst, carried)
-        state.update((float(new["tokens"]), int(new["last"])))
-        yield pd.DataFrame({"id": batch["id"].to_numpy(), "caller": caller, "allowed": allowed,
-                            "available": before, "tokens": after})
+        for i in range(0, len(batch), WALK_ROWS):
+            part = batch.iloc[i:i + WALK_ROWS]
+            allowed, before, after, carried = bucket_walk(np.full(len(part), caller, dtype=object),
+                                                          part["t_us"].to_numpy(), rate_per_sec, burst, carried)
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "caller": caller, "allowed": allowed,
+                                "available": before, "tokens": after})
+        state.update((float(carried["tokens"]), int(carried["last"])))
 
     return slim.groupBy("caller").applyInPandasWithState(step, OUTPUT, STATE, "append",
                                                          GroupStateTimeout.NoTimeout)
