@@ -190,7 +190,9 @@ SELECT first_slot, user_id, count(*) AS hosts, CAST(sum(n) AS BIGINT) AS events
   GROUP BY ALL)
 GROUP BY first_slot, user_id HAVING count(*) >= 2"""))
 def shared_credential_sliding(spark, sf_dir):
-    """One credential on at least two hosts within 24 hours, windows sliding by the hour."""
+    """One credential on at least two hosts in a window of 24 hourly slots, sliding by the
+    hour: uses at most 23 hours apart always share one; of uses 23 to 24 hours apart only
+    those whose slots differ by 23 are found."""
     docs = event_docs(spark, sf_dir).filter(F.col("log_attribute").isNull())
     return D.shared_credentials_sliding(docs, 1440, 60, 2)
 
