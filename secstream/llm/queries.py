@@ -16,9 +16,12 @@ from . import (
     fair_mix,
     html_blocks,
     knn_quality,
+    line_bloom,
     mil_toxicity,
+    pca_kmeans,
     ppm_language,
     shingle_join,
+    token_align,
     winnowing,
 )
 from .common import id_remainder, table
@@ -141,6 +144,69 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_register("op11_anchor_align")
+def op11_anchor_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_align.alignment_report(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                                        public_tokenizers.path("piece_bpe_32k.model"), keep=("doc_id",))
+
+
+_TRIMMED = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINES_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+keyed AS (SELECT *, translate(trim(line, {_TRIMMED}), '{_UPPER}', '{_LOWER}') AS k FROM lines),
+repeats AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= {line_bloom.MIN_POINTS} GROUP BY k
+            HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 2),
+marked AS (SELECT r, line, i, p.k IS NOT NULL AND keyed.doc_id IS DISTINCT FROM p.first AS gone
+           FROM keyed LEFT JOIN repeats p ON p.k = keyed.k)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked JOIN d USING (r) GROUP BY r, doc_id
+"""
+
+
+@_register("op12_line_bloom", LINES_SQL)
+def op12_line_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_bloom.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",), with_text=False)
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """Every round as two tables: the assignment (a) and the centroids after it (c)."""
+    steps = [f"""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = {dim}),
+e AS MATERIALIZED (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM kept),
+firsts AS (SELECT v, row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS k
+           FROM kept QUALIFY k < {k}),
+c0 AS MATERIALIZED (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM firsts)"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (
+  SELECT r, k, distance FROM (SELECT e.r, c.k, CAST(sum((e.x - c.x) * (e.x - c.x)) AS BIGINT) AS distance
+                              FROM e JOIN c{n} c ON e.d = c.d GROUP BY e.r, c.k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, k) = 1)""")
+        if n < rounds:
+            steps.append(f"""
+c{n + 1} AS MATERIALIZED (
+  SELECT c.k, c.d, CAST(coalesce(m.x, c.x) AS BIGINT) AS x FROM c{n} c LEFT JOIN (
+    SELECT k, d, (s - ((s % n) + n) % n) // n AS x
+    FROM (SELECT a.k, e.d, sum(e.x) AS s, count(*) AS n FROM e JOIN a{n} a USING (r) GROUP BY a.k, e.d)) m
+  ON m.k = c.k AND m.d = c.d)""")
+    return "WITH" + ",".join(steps) + f"""
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, h.centroid_sha256
+FROM a{rounds} a JOIN kept USING (r) JOIN (SELECT k, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256
+                                            FROM c{rounds} GROUP BY k) h ON h.k = a.k
+"""
+
+
+@_register("op13_pca_kmeans", _cluster_sql())
+def op13_pca_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pca_kmeans.cluster_report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @_register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
