@@ -41,7 +41,7 @@ from .common import shared_folder
 
 LEADING = 8
 LARGEST = 1 << 27
-SLACK = 1e-9
+SLACK = 1e-6
 
 
 def integer_vectors(column: pa.Array, dim: int, scale: int) -> np.ndarray:
