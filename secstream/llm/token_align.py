@@ -23,10 +23,13 @@ read once by the driver and broadcast (``MAX_VOCABULARY_BYTES`` each at most).
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +58,22 @@ def byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def merge_ranks(a_json: dict, a_bytes: list[bytes]) -> dict[bytes, int] | None:
+    """Token bytes and ids, if ids rank the merges and the split is the plain byte-level one; else None.
+
+    Then the rank library, several times faster, gives the ids that the file's own library gives.
+    """
+    model = a_json["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    ids = [model["vocab"].get(x + y) for x, y in merges]
+    split = a_json.get("pre_tokenizer") or {}
+    plain = (a_json.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+             and not split.get("add_prefix_space") and not model.get("ignore_merges") and None not in ids)
+    if not plain or ids != sorted(set(ids)) or len(merges) + 256 != len(model["vocab"]):
+        return None
+    return {a_bytes[i]: i for i in model["vocab"].values()}
+
+
 class Tokenizers:
     """Both tokenizers with the bytes of their tokens; one per Python worker."""
 
@@ -70,32 +89,57 @@ class Tokenizers:
         self.a_bytes = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(symbols[c] for c in token) if all(c in symbols for c in token) else token.encode()
+        ranks = merge_ranks(json.loads(a_json), self.a_bytes)
+        self.ranked = None
+        if ranks is not None:
+            import public_tokenizers
+            import tiktoken
+            self.ranked = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         pieces = [(self.b.id_to_piece(i), self.b.IsByte(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if single else p.replace("▁", " ").encode() for p, single in pieces]
 
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked is not None:
+            return [self.ranked.encode_ordinary(" " + t) for t in texts]
+        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return ([e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)],
-                self.b.encode(texts, num_threads=1))
+        return self.encode_a(texts), self.b.encode(texts, num_threads=1)
 
 
-def align_window(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[str, list[tuple[int, int]]]:
+def align_window(a: tuple[int, ...], b: tuple[int, ...], a_len: list[int], b_len: list[int]) -> tuple[str, list[tuple[int, int]]]:
     """Groups of a window as text, and its links. Both sides cover the same bytes."""
+    if len(a) == 1 or len(b) == 1:
+        return f"{','.join(map(str, a))}|{','.join(map(str, b))}", [(a[-1], b[-1])]
     groups, links = [], []
-    i = j = i0 = j0 = 0
+    j = i0 = j0 = 0
     end_a = end_b = 0
-    while i < len(a):
-        end_a += len(a_bytes[a[i]])
-        i += 1
-        while j < len(b) and end_b < end_a:
-            end_b += len(b_bytes[b[j]])
+    for i, token in enumerate(a, 1):
+        end_a += a_len[token]
+        while end_b < end_a:
+            end_b += b_len[b[j]]
             j += 1
         if end_a == end_b:
             groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            links.append((a[i - 1], b[j - 1]))
+            links.append((token, b[j - 1]))
             i0, j0 = i, j
     return ";".join(groups), links
 
 
+def _joiner(tokens: list[bytes]):
+    """A function from token numbers to their joined bytes and each token's end."""
+    table = np.frombuffer(b"".join(tokens), np.uint8)
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    start = np.cumsum(size) - size
+
+    def joined(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = size[ids]
+        ends = np.cumsum(own)
+        return table[np.repeat(start[ids] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    return joined
+
+
 class Aligner:
     """Aligns blocks of texts; remembers windows by their id tuples."""
 
@@ -104,33 +148,43 @@ class Aligner:
         self.base = len(tokenizers.b_bytes)
         self.a_len = np.fromiter(map(len, tokenizers.a_bytes), np.int64, len(tokenizers.a_bytes))
         self.b_len = np.fromiter(map(len, tokenizers.b_bytes), np.int64, len(tokenizers.b_bytes))
+        self.lengths = self.a_len.tolist(), self.b_len.tolist()
+        self.a_joined, self.b_joined = _joiner(tokenizers.a_bytes), _joiner(tokenizers.b_bytes)
         self.a_space = np.array([t[:1] == b" " for t in tokenizers.a_bytes])
         self.b_space = np.array([t[:1] == b" " for t in tokenizers.b_bytes])
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[tuple[bytes, bytes], int] = {}
+        self.memo: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
         self.texts: list[str] = []
         self.starts, self.counts, self.codes = array("q"), array("q"), array("q")
 
-    def learn(self, key: tuple[bytes, bytes]) -> int:
-        text, links = align_window(np.frombuffer(key[0], np.int32).tolist(), np.frombuffer(key[1], np.int32).tolist(),
-                                   self.tok.a_bytes, self.tok.b_bytes)
+    def learn(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> int:
+        text, links = align_window(*key, *self.lengths)
         at = self.memo[key] = len(self.texts)
         self.texts.append(text)
         self.starts.append(len(self.codes))
         self.counts.append(len(links))
-        self.codes.extend(a * self.base + b for a, b in links)
+        for a, b in links:
+            self.codes.append(a * self.base + b)
         return at
 
     def covered(self, texts: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
         """Whether both sides' joined bytes are a space and the text."""
+        wanted = [b" " + t.encode() for t in texts]
+        sizes = np.fromiter(map(len, wanted), np.int64, len(wanted))
+        whole = np.frombuffer(b"".join(wanted), np.uint8)
+        for ids, bytes_of in ((ids_a, self.a_joined), (ids_b, self.b_joined)):
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            tokens = np.fromiter(chain.from_iterable(ids), np.int64, counts.sum())
+            joined, ends = bytes_of(tokens)
+            if not (np.array_equal(np.append(0, ends)[np.cumsum(counts)], np.cumsum(sizes)) and np.array_equal(joined, whole)):
+                break
+        else:
+            return [True] * len(texts)
         of_a, of_b = self.tok.a_bytes.__getitem__, self.tok.b_bytes.__getitem__
-        out = []
-        for text, a, b in zip(texts, ids_a, ids_b, strict=True):
-            want = b" " + text.encode()
-            out.append(b"".join(map(of_a, a)) == want and b"".join(map(of_b, b)) == want)
-        return out
+        return [b"".join(map(of_a, x)) == want and b"".join(map(of_b, y)) == want
+                for want, x, y in zip(wanted, ids_a, ids_b, strict=True)]
 
     def align(self, texts: list[str]) -> list[tuple[int, int, np.ndarray, str] | None]:
         """Per text (tokens of A, tokens of B, link codes, groups as text); None without tokens."""
@@ -144,19 +198,18 @@ class Aligner:
         out: list = [None] * len(texts)
         if not full:
             return out
-        a = np.fromiter((i for ids in ids_a for i in ids), np.int32)
-        b = np.fromiter((i for ids in ids_b for i in ids), np.int32)
+        all_a, all_b = tuple(chain.from_iterable(ids_a)), tuple(chain.from_iterable(ids_b))
+        a, b = np.array(all_a, np.int32), np.array(all_b, np.int32)
         start_a, start_b = (np.cumsum(n) - n for n in (self.a_len[a], self.b_len[b]))
         total = np.cumsum(np.fromiter((len(texts[i].encode()) + 1 for i in full), np.int64, len(full)))
         heads = np.concatenate(([0], total[:-1]))
         anchors = np.union1d(np.intersect1d(start_a[self.a_space[a]], start_b[self.b_space[b]], assume_unique=True), heads)
-        cut_a = (4 * np.append(np.searchsorted(start_a, anchors), len(a))).tolist()
-        cut_b = (4 * np.append(np.searchsorted(start_b, anchors), len(b))).tolist()
-        raw_a, raw_b = a.tobytes(), b.tobytes()
+        cut_a = np.append(np.searchsorted(start_a, anchors), len(a)).tolist()
+        cut_b = np.append(np.searchsorted(start_b, anchors), len(b)).tolist()
         get, learn = self.memo.get, self.learn
         windows = []
-        for i in range(len(anchors)):
-            key = raw_a[cut_a[i]:cut_a[i + 1]], raw_b[cut_b[i]:cut_b[i + 1]]
+        for i0, i1, j0, j1 in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False):
+            key = all_a[i0:i1], all_b[j0:j1]
             at = get(key)
             windows.append(learn(key) if at is None else at)
         number = np.array(windows, np.int64)
@@ -226,6 +279,7 @@ def align_texts(df: DataFrame, a_path: str, b_path: str, text: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(files.value)
+        gc.disable()  # millions of tuples live here and none in a cycle
         for part in text_slices(batches, "__text", ENCODE_BYTES):
             rows = [r or nothing for r in aligner.align([t or "" for t in part.column("__text").to_pylist()])]
             links = pa.array([len(r[2]) for r in rows], pa.int64())

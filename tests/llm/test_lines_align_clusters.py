@@ -179,6 +179,17 @@ def test_alignment_columns_and_empty_table(spark):
         token_align.alignment_report(wide.withColumn("n_a", F.lit(1)), A, B)
 
 
+def test_both_libraries_split_every_character_alike():
+    """The rank library stands in for the file's own one: same classes for every plane's characters."""
+    tok = token_align.Tokenizers(open(A, "rb").read(), open(B, "rb").read())
+    assert tok.ranked is not None
+    points = [*range(0xD800), *range(0xE000, 0xE100), *range(0xF900, 0x20100)]
+    for start in range(0, len(points), 20_000):
+        texts = [f"a{chr(c)}a1{chr(c)}1 {chr(c)} {chr(c)}!" for c in points[start:start + 20_000]]
+        own = [e.ids for e in tok.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        assert own == tok.encode_a(texts)
+
+
 def test_windows_are_remembered_by_id_tuples():
     aligner = token_align.Aligner(token_align.Tokenizers(open(A, "rb").read(), open(B, "rb").read()))
     first = aligner.align(["the cat sat on the mat"])[0]
