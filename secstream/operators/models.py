@@ -1,14 +1,12 @@
 """Train, tune, persist and apply triage classifiers.
 
-Gradient-boosted trees from MLlib replace the reference's boosted-tree
-library: class weights come from the training balance (``weightCol``), and the
-fitted ``PipelineModel`` plus a one-row metadata table (feature order, label
-classes, thresholds) is the persisted bundle. Early stopping follows the
-reference: the area under PR of the validation split after every round, stopped
-after ``PATIENCE`` rounds without a better one (MLlib's own rule ends at the
-first round that gains less than 1 %, so it is not used). Tuning is a random
-search over the reference's parameter ranges, trials in parallel, each scored on
-the validation split; the trials are returned as a table.
+Boosted trees are grown from histograms (``boosting``) with the reference's eight
+training parameters, the class weight of the training balance and its early
+stopping: the area under PR of the validation split after every round, stopped
+after ``PATIENCE`` rounds without a better one. The bundle is a table of nodes a
+model and a one-row metadata table (feature order, label classes, thresholds).
+Tuning is a random search over the reference's parameter ranges; the trials are
+returned as a table, which ``log_trials`` appends to a stored one.
 """
 
 from __future__ import annotations
@@ -16,171 +14,48 @@ from __future__ import annotations
 import json
 import math
 import random
-import re
-from multiprocessing.pool import ThreadPool
-
-import numpy as np
-import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import MODEL_FEATURES, serving_features
-from .ranking import running_sums
+from .boosting import NODE_SCHEMA, PATIENCE, Model, fit_models, model_of_nodes, node_table, probability
 from .triage import encode_log_type
 
 FEATURE_COLS = (*MODEL_FEATURES, "log_type_code")
 
-# ---- fixed values (reference training settings, those that MLlib has a counterpart of) ----
-SUS_PARAMS = dict(maxDepth=5, stepSize=0.225087, subsamplingRate=0.586104, featureSubsetStrategy="0.903578",
-                  minInstancesPerNode=6)
-EVIL_PARAMS = dict(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", minInstancesPerNode=1)
+# ---- fixed values (reference training settings) ----
+SUS_PARAMS = dict(max_depth=5, learning_rate=0.225087, subsample=0.586104, colsample_bytree=0.903578,
+                  min_child_weight=6, gamma=0.399563, reg_alpha=1.358576, reg_lambda=4.009962)
+EVIL_PARAMS = dict(max_depth=6, learning_rate=0.05, subsample=0.8, colsample_bytree=0.8,
+                   min_child_weight=1, gamma=0.0, reg_alpha=0.0, reg_lambda=1.0)
 MAX_ROUNDS = 500
-PATIENCE = 30
 SEARCH_TRIALS = 30
 SEARCH_ROUNDS = 400
-SEARCH_RANGES = dict(maxDepth=(3, 8), stepSize=(0.01, 0.3), subsamplingRate=(0.5, 1.0),
-                     featureSubsetStrategy=(0.3, 1.0), minInstancesPerNode=(1, 20))
-# ---------------------------------------------------------------------------
-#: Rounds of the first fit; doubled, up to the most rounds, until early stopping fires.
-FIRST_ROUNDS = 64
-
-
-def weighted(df: DataFrame, label: str) -> DataFrame:
-    """M6 as a weight column: positives weigh neg/pos, negatives 1."""
-    bal = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
-    if not bal["p"]:
-        raise ValueError(f"no positive examples for {label}: cannot train")
-    w = bal["n"] / bal["p"]
-    return df.withColumn("weight", F.when(F.col(label) == 1, F.lit(float(w))).otherwise(F.lit(1.0)))
-
-
-def gbt_pipeline(label: str, params: dict, max_rounds: int = MAX_ROUNDS, seed: int = 42) -> Pipeline:
-    gbt = GBTClassifier(labelCol=label, featuresCol="features_vec", weightCol="weight",
-                        maxIter=max_rounds, seed=seed, **params)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(FEATURE_COLS), outputCol="features_vec",
-                                            handleInvalid="keep"), gbt])
-
-
-def tree_tables(debug: str) -> list[tuple[float, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The trees of a model's ``toDebugString`` as (weight, depth, feature, threshold, children, value)
-    arrays by node; a leaf is its own child."""
-    lines = iter(debug.splitlines()[1:])
-    trees = []
-
-    def node(rows: list, depth: int) -> tuple[int, int]:
-        line = next(lines).strip()
-        at = len(rows)
-        if line.startswith("Predict:"):
-            rows.append((0, math.inf, at, at, float(line[8:])))
-            return at, depth
-        f, t = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", line).groups()
-        rows.append(None)
-        left, d1 = node(rows, depth + 1)
-        next(lines)  # Else
-        right, d2 = node(rows, depth + 1)
-        rows[at] = (int(f), float(t), left, right, 0.0)
-        return at, max(d1, d2)
-
-    for line in lines:
-        weight = float(re.fullmatch(r"Tree \d+ \(weight (\S+)\):", line.strip()).group(1))
-        rows: list = []
-        _, depth = node(rows, 0)
-        f, t, left, right, value = (np.array(c) for c in zip(*rows))
-        trees.append((weight, depth, f, t, np.stack([left, right]), value))
-    return trees
-
-
-def round_margins(trees: list, x: np.ndarray) -> np.ndarray:
-    """The margin of every row (first axis) after every round (second axis)."""
-    out = np.empty((len(x), len(trees)))
-    rows = np.arange(len(x))
-    for i, (weight, depth, f, t, children, value) in enumerate(trees):
-        at = np.zeros(len(x), dtype=np.int64)
-        for _ in range(depth):
-            right = ~(x[rows, f[at]] <= t[at])
-            at = children[right.astype(np.int64), at]
-        out[:, i] = weight * value[at]
-    return out.cumsum(axis=1)
-
-
-def round_scores(model: PipelineModel, val: DataFrame) -> list[float]:
-    """Area under PR on ``val`` (distinct feature rows with ``pos`` and ``neg`` counts) after each
-    round, in one job: points are summed over (round, margin), and as every round has the same
-    totals, global running sums less the rounds before are the running sums of a round."""
-    trees = tree_tables(model.stages[-1].toDebugString)
-    total = val.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
-    p, n = total["p"] or 0, total["n"] or 0
-    if not p:
-        return [0.0] * len(trees)
-
-    @F.pandas_udf("array<double>")
-    def margins(x: pd.Series) -> pd.Series:
-        return pd.Series(list(round_margins(trees, np.stack(x.to_numpy()).astype(np.float64))) if len(x) else [])
-
-    m = val.select("pos", "neg", F.posexplode(margins(F.array(*[F.col(c).cast("double") for c in FEATURE_COLS])))
-                   .alias("round", "margin"))
-    points = m.groupBy("round", "margin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    c = running_sums(points, [F.col("round").asc(), F.col("margin").desc()], ["pos", "neg"])
-    tp, fp = F.col("pos_cum") - F.col("round") * p, F.col("neg_cum") - F.col("round") * n
-    precision = tp / (tp + fp)
-    before = tp + fp - F.col("pos") - F.col("neg")
-    last = F.when(before > 0, (tp - F.col("pos")) / F.when(before > 0, before)).otherwise(precision)
-    area = F.sum(F.col("pos") / F.lit(float(p)) * (precision + last) / 2)
-    return [float(r["area"]) for r in c.groupBy("round").agg(area.alias("area")).orderBy("round").collect()]
-
-
-def stopping_round(scores: list[float], patience: int = PATIENCE) -> tuple[int, int | None]:
-    """The best round (from 1, the first of equals) and the round after which training stops: the
-    first with ``patience`` rounds since the best one, ``None`` while there is none."""
-    best = 0
-    for i, s in enumerate(scores):
-        if i == 0 or s > scores[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, i + 1
-    return best + 1, None
+SEARCH_RANGES = dict(max_depth=(3, 8), learning_rate=(0.01, 0.3), subsample=(0.5, 1.0), colsample_bytree=(0.3, 1.0),
+                     min_child_weight=(1, 20), gamma=(0.0, 5.0), reg_alpha=(0.0, 10.0), reg_lambda=(0.0, 10.0))
+# ----------------------------------------------------
+WHOLE = ("max_depth", "min_child_weight")
+LOG_SCALE = ("learning_rate",)
 
 
 def boost(train_df: DataFrame, val_df: DataFrame, label: str, params: dict, max_rounds: int, patience: int = PATIENCE,
-          seed: int = 42) -> tuple[PipelineModel, float]:
-    """Boosted trees with the reference's early stopping: the model of the round at which training
-    stops and the best area under PR. A round depends only on the rounds before it, so a longer fit
-    begins with the trees of a shorter one, and the fit of ``stop`` rounds is the stopped one."""
-    data = weighted(train_df, label).persist()
-    val = val_df.groupBy(*FEATURE_COLS).agg(F.count_if(F.col(label) == 1).alias("pos"),
-                                            F.count_if(F.col(label) == 0).alias("neg")).persist()
-    rounds, stop = min(FIRST_ROUNDS, max_rounds), None
-    while True:
-        model = gbt_pipeline(label, params, rounds, seed).fit(data)
-        scores = round_scores(model, val)
-        best, stop = stopping_round(scores, patience)
-        if stop is not None or rounds >= max_rounds:
-            break
-        rounds = min(2 * rounds, max_rounds)
-    if stop is not None and stop < rounds:
-        model = gbt_pipeline(label, params, stop, seed).fit(data)
-    data.unpersist()
-    val.unpersist()
-    return model, scores[best - 1]
-
-
-def train(train_df: DataFrame, val_df: DataFrame, label: str, params: dict,
-          max_rounds: int = MAX_ROUNDS) -> PipelineModel:
+          seed: int = 42) -> tuple[Model, float]:
+    """The model of the round at which training stops, and the best area under PR."""
+    model = fit_models(train_df, val_df, label, list(FEATURE_COLS), [params], max_rounds, patience, seed)[0]
+    return model, max(model.scores)
+
+
+def train(train_df: DataFrame, val_df: DataFrame, label: str, params: dict, max_rounds: int = MAX_ROUNDS) -> Model:
     """M7: fit on train; val rows only steer early stopping."""
     return boost(train_df, val_df, label, params, max_rounds)[0]
 
 
-def positive_probability(model: PipelineModel, df: DataFrame, out: str = "probability_1") -> DataFrame:
-    return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop(
-        "features_vec", "rawPrediction", "probability", "prediction")
+def positive_probability(model: Model, df: DataFrame, out: str = "probability_1") -> DataFrame:
+    return df.withColumn(out, probability(model, list(FEATURE_COLS)))
 
 
-def score(model: PipelineModel, df: DataFrame, threshold: float, name: str) -> DataFrame:
+def score(model: Model, df: DataFrame, threshold: float, name: str) -> DataFrame:
     """Probability rounded to 4 digits, flag on the unrounded value."""
     p = positive_probability(model, df, "_p")
     return p.withColumn(f"{name}_probability", F.round("_p", 4)) \
@@ -188,21 +63,22 @@ def score(model: PipelineModel, df: DataFrame, threshold: float, name: str) -> D
         .withColumn(f"{name}_threshold", F.lit(threshold)).drop("_p")
 
 
-def save_bundle(spark: SparkSession, models: dict[str, PipelineModel], thresholds: dict[str, float],
+def save_bundle(spark: SparkSession, models: dict[str, Model], thresholds: dict[str, float],
                 classes: list[str], path: str) -> None:
-    """Models + one-row metadata table."""
+    """A node table per model and a one-row metadata table."""
     for name, m in models.items():
-        m.write().overwrite().save(f"{path}/{name}")
+        spark.createDataFrame(node_table(m), NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
     meta = {"feature_cols": list(FEATURE_COLS), "classes": classes, "thresholds": thresholds}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
-def load_bundle(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], dict]:
+def load_bundle(spark: SparkSession, path: str) -> tuple[dict[str, Model], dict]:
     try:
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
     except Exception as e:  # noqa: BLE001
         raise FileNotFoundError(f"no model bundle at {path}: run training first") from e
-    return {n: PipelineModel.load(f"{path}/{n}") for n in meta["thresholds"]}, meta
+    return {n: model_of_nodes(spark.read.parquet(f"{path}/{n}").collect(), len(meta["feature_cols"]))
+            for n in meta["thresholds"]}, meta
 
 
 def serving_frame(events: DataFrame, classes: list[str]) -> DataFrame:
@@ -211,7 +87,7 @@ def serving_frame(events: DataFrame, classes: list[str]) -> DataFrame:
     return typed.select("*", *[F.col(f"_f.{f}").cast("double").alias(f) for f in MODEL_FEATURES]).drop("_f")
 
 
-def score_events(events: DataFrame, models: dict[str, PipelineModel], meta: dict) -> DataFrame:
+def score_events(events: DataFrame, models: dict[str, Model], meta: dict) -> DataFrame:
     """M14 + J5 + T7: the six result fields of each event, by the models and thresholds of one
     bundle. The metadata enters as literals, so a batch and a stream share this plan."""
     out = serving_frame(events, meta["classes"])
@@ -220,25 +96,38 @@ def score_events(events: DataFrame, models: dict[str, PipelineModel], meta: dict
     return out.drop(*MODEL_FEATURES, "log_type_code")
 
 
-def random_search(train_df: DataFrame, val_df: DataFrame, label: str, trials: int = SEARCH_TRIALS,
-                  max_rounds: int = SEARCH_ROUNDS, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """M13 + S19: random parameter sets over the reference's ranges, each fit with early
-    stopping and scored by its best area under PR on the validation split, in parallel.
-    Returns one row per trial (parameters, metric), best first."""
+def parameter_sets(trials: int, seed: int) -> list[dict]:
+    """``trials`` draws from the reference's ranges, the learning rate on a log scale."""
     rnd = random.Random(seed)
-    low, high = map(math.log, SEARCH_RANGES["stepSize"])
-    grid = [dict(maxDepth=rnd.randint(*SEARCH_RANGES["maxDepth"]),
-                 stepSize=round(math.exp(rnd.uniform(low, high)), 6),
-                 subsamplingRate=round(rnd.uniform(*SEARCH_RANGES["subsamplingRate"]), 4),
-                 featureSubsetStrategy=str(round(rnd.uniform(*SEARCH_RANGES["featureSubsetStrategy"]), 4)),
-                 minInstancesPerNode=rnd.randint(*SEARCH_RANGES["minInstancesPerNode"])) for _ in range(trials)]
-    spark = train_df.sparkSession
-
-    def trial(params: dict) -> float:
-        return boost(train_df, val_df, label, params, max_rounds, seed=seed)[1]
-
-    with ThreadPool(min(parallelism, trials)) as pool:
-        metrics = pool.map(inheritable_thread_target(spark)(trial), grid)
-    rows = [(i, *[float(params[k]) for k in SEARCH_RANGES], m) for i, (params, m) in enumerate(zip(grid, metrics))]
-    schema = "trial int, " + ", ".join(f"{k} double" for k in SEARCH_RANGES) + ", area_under_pr double"
-    return spark.createDataFrame(rows, schema).orderBy(F.col("area_under_pr").desc())
+
+    def draw(name: str, low: float, high: float) -> float:
+        if name in WHOLE:
+            return rnd.randint(low, high)
+        if name in LOG_SCALE:
+            return round(math.exp(rnd.uniform(math.log(low), math.log(high))), 6)
+        return round(rnd.uniform(low, high), 6)
+
+    return [{name: draw(name, *span) for name, span in SEARCH_RANGES.items()} for _ in range(trials)]
+
+
+def random_search(train_df: DataFrame, val_df: DataFrame, label: str, trials: int = SEARCH_TRIALS,
+                  max_rounds: int = SEARCH_ROUNDS, seed: int = 42) -> DataFrame:
+    """Random parameter sets, each fit with early stopping and scored by its best area
+    under PR on the validation split. One row per trial (parameters, rounds, metric), best first."""
+    sets = parameter_sets(trials, seed)
+    models = fit_models(train_df, val_df, label, list(FEATURE_COLS), sets, max_rounds, seed=seed)
+    rows = [(i, *[float(p[k]) for k in SEARCH_RANGES], m.best_round, len(m.trees), max(m.scores))
+            for i, (p, m) in enumerate(zip(sets, models, strict=True))]
+    schema = "trial int, " + ", ".join(f"{k} double" for k in SEARCH_RANGES) + ", best_round int, rounds int, area_under_pr double"
+    return train_df.sparkSession.createDataFrame(rows, schema).orderBy(F.col("area_under_pr").desc(), "trial")
+
+
+def log_trials(trials: DataFrame, path: str, run: str) -> None:
+    """The trials of a run, kept under its name; a repeated run replaces its rows."""
+    trials.withColumn("best_so_far", F.max("area_under_pr").over(_by_trial())).coalesce(1).write.mode("overwrite").parquet(
+        f"{path}/run={run}")
+
+
+def _by_trial():
+    from pyspark.sql import Window
+    return Window.orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)  # a row per trial

@@ -241,7 +241,7 @@ def _resampled(train, label: str):
 
 @register("ml_score")
 def ml_score(spark, sf_dir):
-    """M4-M7 + M9 + M10 + M14: train both models on the resampled training split (GBT, class
+    """M4-M7 + M9 + M10 + M14: train both models on the resampled training split (class
     weight, at most 500 rounds, early stopping on the validation split), pick the max-F1 threshold for sus and the precision one for evil
     on validation, score the test split (rows-only: model output is not SQL)."""
     from ..operators import models as MD

@@ -24,7 +24,7 @@ def test_bundle_and_stream_give_the_batch_scores(spark, tmp_path):
     ev = _events(spark)
     classes = ["dns", "standard_host"]
     frame = MD.serving_frame(ev, classes).withColumn("sus", F.col("y")).withColumn("evil", F.col("y"))
-    params = dict(maxDepth=2, stepSize=0.3)
+    params = {**MD.EVIL_PARAMS, "max_depth": 2, "learning_rate": 0.3}
     models = {n: MD.train(frame, frame, n, params, max_rounds=4) for n in ("sus", "evil")}
     meta = {"classes": classes, "thresholds": {"sus": 0.5, "evil": 0.9}}
     key = ["doc_id", *[f"{n}_{f}" for n in ("sus", "evil") for f in ("probability", "flag", "threshold")]]
