@@ -107,23 +107,11 @@ class Tokenizers:
         return self.encode_a(texts), self.b.encode(texts, num_threads=1)
 
 
-def align_window(a: tuple[int, ...], b: tuple[int, ...], a_len: list[int], b_len: list[int]) -> tuple[str, list[tuple[int, int]]]:
-    """Groups of a window as text, and its links. Both sides cover the same bytes."""
-    if len(a) == 1 or len(b) == 1:
-        return f"{','.join(map(str, a))}|{','.join(map(str, b))}", [(a[-1], b[-1])]
-    groups, links = [], []
-    j = i0 = j0 = 0
-    end_a = end_b = 0
-    for i, token in enumerate(a, 1):
-        end_a += a_len[token]
-        while end_b < end_a:
-            end_b += b_len[b[j]]
-            j += 1
-        if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-            links.append((token, b[j - 1]))
-            i0, j0 = i, j
-    return ";".join(groups), links
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    size = end - start
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum())
 
 
 def _joiner(tokens: list[bytes]):
@@ -148,7 +136,9 @@ class Aligner:
         self.base = len(tokenizers.b_bytes)
         self.a_len = np.fromiter(map(len, tokenizers.a_bytes), np.int64, len(tokenizers.a_bytes))
         self.b_len = np.fromiter(map(len, tokenizers.b_bytes), np.int64, len(tokenizers.b_bytes))
-        self.lengths = self.a_len.tolist(), self.b_len.tolist()
+        # an id as text with what follows it: A inside a group and at its end, B inside, at its end, and at the window's end
+        self.symbols = np.array([f"{i}{after}" for size, marks in ((len(self.a_len), ",|"), (self.base, (",", ";", "")))
+                                 for after in marks for i in range(size)], object)
         self.a_joined, self.b_joined = _joiner(tokenizers.a_bytes), _joiner(tokenizers.b_bytes)
         self.a_space = np.array([t[:1] == b" " for t in tokenizers.a_bytes])
         self.b_space = np.array([t[:1] == b" " for t in tokenizers.b_bytes])
@@ -159,15 +149,30 @@ class Aligner:
         self.texts: list[str] = []
         self.starts, self.counts, self.codes = array("q"), array("q"), array("q")
 
-    def learn(self, key: tuple[tuple[int, ...], tuple[int, ...]]) -> int:
-        text, links = align_window(*key, *self.lengths)
-        at = self.memo[key] = len(self.texts)
-        self.texts.append(text)
-        self.starts.append(len(self.codes))
-        self.counts.append(len(links))
-        for a, b in links:
-            self.codes.append(a * self.base + b)
-        return at
+    def learn(self, windows: np.ndarray, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> None:
+        """Align windows not met before, given as token ranges (from a, to a, from b, to b) in the order of the block.
+
+        The ends of both sides are walked together for all of them: an A end that is also a B end closes a group.
+        """
+        own_a, own_b = (_ranges(windows[:, k], windows[:, k + 1]) for k in (0, 2))
+        a, b, end_a, end_b = a[own_a], b[own_b], end_a[own_a], end_b[own_b]
+        partner = np.searchsorted(end_b, end_a)
+        closes_a = end_b[partner] == end_a
+        closes_b = np.zeros(len(b), bool)
+        closes_b[partner[closes_a]] = True
+        size_a, size_b = windows[:, 1] - windows[:, 0], windows[:, 3] - windows[:, 2]
+        counts = np.diff(np.append(0, np.cumsum(closes_a)[np.cumsum(size_a) - 1]))
+        ends = np.zeros(len(b), bool)
+        ends[np.cumsum(size_b) - 1] = True
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
+        kind = np.concatenate((closes_a * len(self.a_len), 2 * len(self.a_len) + (closes_b.astype(np.int64) + ends) * self.base))
+        parts = self.symbols[(np.concatenate((a, b)) + kind)[order]].tolist()
+        bounds = np.append(0, np.cumsum(size_a + size_b)).tolist()
+        self.texts += ["".join(parts[lo:hi]) for lo, hi in zip(bounds, bounds[1:], strict=False)]
+        self.starts.frombytes((len(self.codes) + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+        self.counts.frombytes(counts.astype(np.int64).tobytes())
+        self.codes.frombytes((a[closes_a].astype(np.int64) * self.base + b[partner[closes_a]]).tobytes())
 
     def covered(self, texts: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
         """Whether both sides' joined bytes are a space and the text."""
@@ -200,23 +205,30 @@ class Aligner:
             return out
         all_a, all_b = tuple(chain.from_iterable(ids_a)), tuple(chain.from_iterable(ids_b))
         a, b = np.array(all_a, np.int32), np.array(all_b, np.int32)
-        start_a, start_b = (np.cumsum(n) - n for n in (self.a_len[a], self.b_len[b]))
+        end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
+        start_a, start_b = np.append(0, end_a[:-1]), np.append(0, end_b[:-1])
         total = np.cumsum(np.fromiter((len(texts[i].encode()) + 1 for i in full), np.int64, len(full)))
         heads = np.concatenate(([0], total[:-1]))
         anchors = np.union1d(np.intersect1d(start_a[self.a_space[a]], start_b[self.b_space[b]], assume_unique=True), heads)
         cut_a = np.append(np.searchsorted(start_a, anchors), len(a)).tolist()
         cut_b = np.append(np.searchsorted(start_b, anchors), len(b)).tolist()
-        get, learn = self.memo.get, self.learn
-        windows = []
+        memo, get = self.memo, self.memo.get
+        windows: list[int] = []
+        new: list[tuple[int, int, int, int]] = []
         for i0, i1, j0, j1 in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False):
             key = all_a[i0:i1], all_b[j0:j1]
             at = get(key)
-            windows.append(learn(key) if at is None else at)
+            if at is None:
+                at = memo[key] = len(memo)
+                new.append((i0, i1, j0, j1))
+            windows.append(at)
+        if new:
+            self.learn(np.array(new), a, b, end_a, end_b)
         number = np.array(windows, np.int64)
         counts = np.frombuffer(self.counts, np.int64)[number]
         starts = np.frombuffer(self.starts, np.int64)[number]
         ends = np.cumsum(counts)
-        codes = np.frombuffer(self.codes, np.int64)[np.repeat(starts - (ends - counts), counts) + np.arange(counts.sum())]
+        codes = np.frombuffer(self.codes, np.int64)[_ranges(starts, starts + counts)]
         bounds = np.append(np.searchsorted(anchors, heads), len(anchors))
         link_bounds = np.append(0, ends)[bounds]
         for k, i in enumerate(full):
