@@ -10,7 +10,8 @@ one walk over its bytes. The shortest code wins; equal codes go to the smaller
 name. The score is the winner's posterior for equal priors.
 
 The trees are fitted on at most ``ROWS_PER_LANGUAGE`` training texts of each
-language, chosen by the order of a hash of their ids; whole texts are used.
+language (``MOST_LANGUAGES`` of them at most, the most frequent), chosen by the
+order of a hash of their ids; whole texts are used.
 
 Defined cases: a null text and a text without a letter get ``und`` with score 0,
 as does every text if no language was learned; a null language is never learned.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +33,9 @@ from .common import text_slices
 
 ORDER = 3
 ROWS_PER_LANGUAGE = 300
+#: Languages learned at most: the model that is broadcast grows with them.
+MOST_LANGUAGES = 256
+RANK_BUCKETS = 16
 CHUNK_BYTES = 1 << 20
 DENSE_ENTRIES = 1 << 25
 UNKNOWN = "und"
@@ -158,28 +163,35 @@ def build(languages: list[str], length: np.ndarray, gram: np.ndarray, language:
     return ContextTrees(languages, steps, cost.astype(np.float32), escape.astype(np.float32))
 
 
-def fit_languages(docs: DataFrame, training: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> ContextTrees:
-    """Fit on at most ``rows_per_language`` texts of each language among the rows where ``training`` holds."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-           .select("doc_id", "lang").withColumn("__n", F.row_number().over(rank))
-           .where(F.col("__n") <= rows_per_language).select("doc_id", "lang").distinct())
-    sample = (docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
-              .groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            by: dict[str, list[bytes]] = {}
-            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                by.setdefault(lang, []).append((text or "").encode())
-            for lang, texts in by.items():
-                length, gram, n = gram_counts(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(length, pa.int32()),
-                                                  pa.array(gram, pa.int64()), pa.array(n, pa.int64())],
-                                                 names=["lang", "length", "gram", "n"])
-
-    counts = (sample.mapInArrow(count, "lang string, length int, gram bigint, n bigint")
-              .groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toArrow())
+def sampled_texts(docs: DataFrame, training: Column, rows_per_language: int, most_languages: int) -> DataFrame:
+    """(lang, text) of the sample: the first ``rows_per_language`` ids of each language by the order of a hash.
+
+    Ids are ranked in two levels, buckets of a language before the language, so no task ranks a whole language.
+    """
+    rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    languages = (rows.groupBy("lang").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "lang")
+                 .limit(most_languages).select("lang"))
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    ids = rows.select("doc_id", "lang").withColumn("__bucket", F.pmod(F.xxhash64("doc_id"), F.lit(RANK_BUCKETS)))
+    for keys in (("lang", "__bucket"), ("lang",)):
+        rank = Window.partitionBy(*keys).orderBy(*order)
+        ids = ids.withColumn("__n", F.row_number().over(rank)).where(F.col("__n") <= rows_per_language)
+    ids = ids.select("doc_id", "lang").distinct().join(F.broadcast(languages), "lang")
+    return (docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+            .groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text"))
+
+
+def fit_languages(docs: DataFrame, training: Column, rows_per_language: int = ROWS_PER_LANGUAGE,
+                  most_languages: int = MOST_LANGUAGES) -> ContextTrees:
+    """Fit on at most ``rows_per_language`` texts of each language among the rows where ``training`` holds; of
+    more than ``most_languages`` languages the most frequent are learned. A language's grams are counted once."""
+
+    def count(own: pd.DataFrame) -> pd.DataFrame:
+        length, gram, n = gram_counts([t.encode() for t in own["text"]])
+        return pd.DataFrame({"lang": own["lang"].iloc[0], "length": length, "gram": gram, "n": n})
+
+    counts = (sampled_texts(docs, training, rows_per_language, most_languages)
+              .groupBy("lang").applyInPandas(count, "lang string, length int, gram bigint, n bigint").toArrow())
     languages = sorted(set(counts.column("lang").to_pylist()))
     number = {name: i for i, name in enumerate(languages)}
     return build(languages, counts.column("length").to_numpy(), counts.column("gram").to_numpy(),
