@@ -1,10 +1,11 @@
-"""Last row per id, and a replay-safe upsert into a parquet table.
+"""Last row per id, and a replay-safe upsert into a folder of Parquet batches.
 
-The upsert rewrites only the buckets a batch touches, each into a folder of a
-new version; a manifest written last makes them current. Its write
-amplification is (touched buckets) / (all buckets): choose the bucket
-so that a micro-batch touches few of them (an id prefix, or a day and a
-prefix), or use a table format's ``MERGE INTO`` where one is installed.
+A batch of a stream overwrites its own folder (``run=<checkpoint>/batch=<id>``), so
+a replayed batch replaces itself and a stopped one leaves no row behind: Spark's
+committer shows a folder's files only when the write has ended. The current
+table is an aggregate over the batches, the last written row per key; ``compact``
+is an ordinary job that writes it to a place of its own. Nothing old is read or
+rewritten when a batch arrives.
 
 ``latest_per_key`` is a hash aggregate (``max_by`` over the ordering
 column), so duplicates collapse with a map-side partial aggregate before the
@@ -14,17 +15,14 @@ task. No window sort over the whole input is needed.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-from dataclasses import dataclass, field
+import hashlib
+import time
+import uuid
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DATA, MANIFESTS, BUCKET = "data", "manifests", "upsert_bucket"
-_MANIFEST_SCHEMA = "kind string, name string, number bigint"
+KEY, WRITTEN = "upsert_key", "upsert_written"
 
 
 def latest_per_key(df: DataFrame, key: str, order: str, count_as: str | None = None) -> DataFrame:
@@ -38,153 +36,42 @@ def latest_per_key(df: DataFrame, key: str, order: str, count_as: str | None = N
     return out
 
 
-def _hadoop_path(spark, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _child_names(spark, path: str) -> list[str]:
-    fs, p = _hadoop_path(spark, path)
-    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
-
-
-def id_bucket(key: str, prefix_chars: int = 2) -> Column:
-    """Partition column of the upserted table: the first hex characters of the
-    (md5) id, i.e. 16**prefix_chars partitions with evenly spread keys. The
-    value carries a letter so partition discovery never reads it as a number."""
-    return F.concat(F.lit("p"), F.substring(F.col(key).cast("string"), 1, prefix_chars))
-
-
-@dataclass
-class Manifest:
-    """Which version of each bucket is current, and what each writer has applied."""
-
-    version: int = -1
-    buckets: dict[str, int] = field(default_factory=dict)
-    writers: dict[str, int] = field(default_factory=dict)
-    schema: T.StructType | None = None
-
-
-def _committed(spark, target_path: str) -> list[int]:
-    """Versions whose manifest folder is complete: Spark writes ``_SUCCESS`` last."""
-    root = f"{target_path}/{MANIFESTS}"
-    return sorted(int(n.split("=")[1]) for n in _child_names(spark, root)
-                  if n.startswith("v=") and "_SUCCESS" in _child_names(spark, f"{root}/{n}"))
-
-
-def read_manifest(spark, target_path: str, version: int | None = None) -> Manifest:
-    """The newest complete manifest (or that of ``version``); empty where there is none yet."""
-    versions = _committed(spark, target_path)
-    if not versions:
-        return Manifest()
-    m = Manifest(version=versions[-1] if version is None else version)
-    for r in spark.read.schema(_MANIFEST_SCHEMA).json(f"{target_path}/{MANIFESTS}/v={m.version}").collect():
-        if r["kind"] == "bucket":
-            m.buckets[r["name"]] = r["number"]
-        elif r["kind"] == "writer":
-            m.writers[r["name"]] = r["number"]
-        else:
-            m.schema = T.StructType.fromJson(json.loads(r["name"]))
-    return m
-
-
-def _commit(spark, target_path: str, m: Manifest) -> None:
-    rows = ([("bucket", n, v) for n, v in m.buckets.items()] + [("writer", n, b) for n, b in m.writers.items()]
-            + [("schema", m.schema.json(), 0)])
-    spark.createDataFrame(rows, _MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite") \
-        .json(f"{target_path}/{MANIFESTS}/v={m.version}")
-
-
-def _read_buckets(spark, target_path: str, m: Manifest, names) -> DataFrame:
-    """The named buckets, each from its current version; no other folder is listed or read."""
-    paths = [f"{target_path}/{DATA}/version={m.buckets[n]}/{BUCKET}={n}" for n in sorted(names)]
-    if not paths:
-        return spark.createDataFrame([], m.schema)
-    return spark.read.schema(m.schema).option("basePath", f"{target_path}/{DATA}").parquet(*paths) \
-        .select(*m.schema.fieldNames())
-
-
-def merge_parquet(spark, updates: DataFrame, target_path: str, bucket: Column,
-                  combine: Callable[[DataFrame | None, DataFrame], DataFrame],
-                  batch_id: int | None = None, writer: str = "") -> None:
-    """Merge ``updates`` into the parquet table at ``target_path``.
-
-    ``bucket`` names the partition of a row; ``combine(old, new)`` gives the
-    rows of the touched buckets from their old rows (None: no table yet) and
-    the updates. Only touched buckets are read; their new rows go into a folder
-    of a new version, and one manifest written after it makes them current.
-    Nothing that an older manifest names is changed, so a job that stops at any
-    point leaves the table as it was, and its replay writes the same version
-    again. The manifest also carries the last ``batch_id`` of each ``writer``
-    (a stream: its checkpoint), so a replayed batch is a no-op. One writer at a time.
-    """
-    m = read_manifest(spark, target_path)
-    if batch_id is not None and m.writers.get(writer, -1) >= batch_id:
-        return
-    new = updates.withColumn(BUCKET, bucket).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # bounded by the table's buckets
-        version = m.version + 1
-        if touched or m.schema is None:
-            old = None if m.schema is None else _read_buckets(spark, target_path, m, set(touched) & set(m.buckets))
-            merged = combine(old, new.drop(BUCKET))
-            m.schema = T.StructType([T.StructField(f.name, f.dataType) for f in merged.schema.fields])
-            merged.withColumn(BUCKET, bucket).hint("rebalance", F.col(BUCKET)).write.mode("overwrite") \
-                .partitionBy(BUCKET).parquet(f"{target_path}/{DATA}/version={version}")
-    finally:
-        new.unpersist()
-    m.version = version
-    m.buckets |= dict.fromkeys(touched, version)
-    if batch_id is not None:
-        m.writers[writer] = batch_id
-    _commit(spark, target_path, m)
+def batch_path(target_path: str, batch_id: int | None, writer: str = "") -> str:
+    """The folder of one batch; batch ids count per writer (a stream: its checkpoint). Without
+    an id every call has a folder of its own."""
+    run = f"r{hashlib.md5(writer.encode()).hexdigest()[:12]}"
+    return f"{target_path}/run={run}/batch={f'n{uuid.uuid4().hex}' if batch_id is None else f'b{batch_id}'}"
+
+
+def write_batch(rows: DataFrame, target_path: str, batch_id: int | None, writer: str = "") -> None:
+    """Write the rows of one batch; the same batch written again replaces them."""
+    rows.write.mode("overwrite").parquet(batch_path(target_path, batch_id, writer))
+
+
+def read_batches(spark, target_path: str) -> DataFrame:
+    """The rows of all batches, with the columns ``run`` and ``batch``; columns that a batch lacks are null."""
+    return spark.read.option("mergeSchema", True).parquet(target_path)
 
 
 def upsert_parquet(spark, updates: DataFrame, target_path: str, key: str, order: str,
-                   batch_id: int | None = None, prefix_chars: int = 2, writer: str = "",
-                   bucket: Column | None = None) -> None:
-    """The last row per ``key`` of ``updates`` replaces the table's row of that key. The
-    ``bucket`` is a function of the key alone; default: the first characters of an (md5) id."""
-    def combine(old: DataFrame | None, new: DataFrame) -> DataFrame:
-        last = latest_per_key(new, key, order)
-        if old is None:
-            return last
-        return old.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
-
-    merge_parquet(spark, updates, target_path, id_bucket(key, prefix_chars) if bucket is None else bucket, combine,
-                  batch_id, writer)
-
-
-def read_upserted(spark, target_path: str, version: int | None = None) -> DataFrame:
-    """The current table, or the table as of an older version that was not cleaned yet."""
-    m = read_manifest(spark, target_path, version)
-    if m.schema is None:
-        raise FileNotFoundError(f"no table at {target_path}")
-    return _read_buckets(spark, target_path, m, m.buckets)
-
-
-def clean_versions(spark, target_path: str, keep: int = 2) -> int:
-    """Delete the bucket folders that none of the newest ``keep`` manifests names; returns how many.
-
-    Readers of older versions must have ended. Folders of a version newer than
-    the last manifest belong to a job that is running or to be replayed: they stay.
-    """
-    if keep < 1:
-        raise ValueError("keep must be >= 1")
-    versions = _committed(spark, target_path)
-    kept = [read_manifest(spark, target_path, v) for v in versions[-keep:]]
-    named = {(v, n) for m in kept for n, v in m.buckets.items()}
-    gone = 0
-    for folder in _child_names(spark, f"{target_path}/{DATA}"):
-        version = int(folder.split("=")[1]) if folder.startswith("version=") else None
-        if version is None or not versions or version > versions[-1]:
-            continue
-        for child in _child_names(spark, f"{target_path}/{DATA}/{folder}"):
-            if child.startswith(f"{BUCKET}=") and (version, child.split("=", 1)[1]) not in named:
-                fs, p = _hadoop_path(spark, f"{target_path}/{DATA}/{folder}/{child}")
-                fs.delete(p, True)
-                gone += 1
-    for v in versions[:-keep]:
-        fs, p = _hadoop_path(spark, f"{target_path}/{MANIFESTS}/v={v}")
-        fs.delete(p, True)
-    return gone
+                   batch_id: int | None = None, writer: str = "") -> None:
+    """The last row per ``key`` of ``updates`` replaces the table's row of that key. Of
+    several batches with a key the one written last has it; one writer at a time."""
+    last = latest_per_key(updates, key, order)
+    write_batch(last.withColumn(KEY, F.col(key).cast("string")).withColumn(WRITTEN, F.lit(time.time_ns())),
+                target_path, batch_id, writer)
+
+
+def read_upserted(spark, target_path: str) -> DataFrame:
+    """The current table: of every key the row written last."""
+    rows = read_batches(spark, target_path)
+    columns = [c for c in rows.columns if c not in (KEY, WRITTEN, "run", "batch")]
+    last = rows.groupBy(KEY).agg(F.max_by(F.struct(*columns), F.col(WRITTEN)).alias("_last"))
+    return last.select("_last.*")
+
+
+def compact(spark, target_path: str, into: str, key: str) -> None:
+    """The current table as the only batch of a new folder, evened out by adaptive rebalancing."""
+    rows = read_upserted(spark, target_path)
+    write_batch(rows.withColumn(KEY, F.col(key).cast("string")).withColumn(WRITTEN, F.lit(time.time_ns())).hint("rebalance"),
+                into, 0, "compaction")

@@ -56,20 +56,26 @@ def _where_flat(df: DataFrame, condition, columns: list[str]) -> DataFrame:
     return df.select(F.inline(F.when(condition, row).otherwise(F.array().cast(df.select(row).schema[0].dataType))))
 
 
-def dead_letters(messages: DataFrame, value_col: str = "value") -> DataFrame:
-    """The messages that give no document, as they came, with the reason."""
-    routed = route_messages(messages, value_col)
+def rejected(routed: DataFrame, value_col: str = "value") -> DataFrame:
+    """Of routed messages those that give no document, as they came, with the reason."""
     kept = [c for c in routed.columns if c not in ("source_file", "log_type", "raw")]
     return _where_flat(routed, F.col("reason").isNotNull(), kept).withColumnRenamed("_message", value_col)
 
 
-def accepted_documents(messages: DataFrame, value_col: str = "value") -> DataFrame:
-    """Enriched documents of all other messages: with the dead letters they account for every message."""
-    routed = route_messages(messages, value_col)
+def accepted(routed: DataFrame) -> DataFrame:
+    """Enriched documents of all other routed messages: with the rejected ones they account for every message."""
     kept = [c for c in routed.columns if c not in ("reason", "_message")]
     return enrich(_where_flat(routed, F.col("reason").isNull(), kept), keep_null_labels=True)
 
 
+def dead_letters(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    return rejected(route_messages(messages, value_col), value_col)
+
+
+def accepted_documents(messages: DataFrame, value_col: str = "value") -> DataFrame:
+    return accepted(route_messages(messages, value_col))
+
+
 def flat_documents(docs: DataFrame) -> DataFrame:
     """Flatten the nested document (for exports and SQL comparison)."""
     feats = [f"features.{f.name}" for f in docs.schema["features"].dataType.fields]

@@ -43,11 +43,9 @@ def _stem(filename: Column) -> Column:
 
 def write_runbooks(spark, runbooks: DataFrame, target_path: str) -> None:
     """Parsed runbooks upserted by file stem; a file read again replaces its row.
-    Stems share prefixes, so rows are placed by the hash of the stem. Of files with one
-    stem the one with the greatest name stays."""
+    Of files with one stem the one with the greatest name stays."""
     rows = runbooks.withColumn("runbook_id", _stem(F.col("filename")))
-    where = F.concat(F.lit("p"), F.substring(F.md5("runbook_id"), 1, 1))
-    upsert_parquet(spark, rows, target_path, "runbook_id", "filename", bucket=where)
+    upsert_parquet(spark, rows, target_path, "runbook_id", "filename")
 
 
 def stored_events(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from ..sources import envelope
 from ..sources.driver_events import raw_events
 from ..sources.tables import read_table
 from ..streaming.incidents import UNTIMED, read_groups, read_kept, run_incident_stream
-from ..streaming.ingest import MESSAGE_SCHEMA, message_stream, run_ingest
+from ..streaming.ingest import MESSAGE_SCHEMA, message_stream, read_dead_letters, run_ingest
 from ..streaming.ratelimit import ROWS_PER_TRIGGER, rate_limit_stream
 from . import q_incidents, q_ingest, q_policy
 from .registry import ORACLES, register
@@ -76,6 +76,29 @@ def stream_ingest(spark, sf_dir):
     return flat_documents(read_upserted(spark, f"{base}/docs")).select(*ENRICHED_COLUMNS)
 
 
+def _damaged_stream(spark, sf_dir) -> str:
+    """Damaged messages streamed in 4 micro-batches; the folder of the document table."""
+    base = _scratch(spark, "damaged")
+    m = q_ingest._damaged_messages(spark, sf_dir).withColumn("seq", F.col("event_id"))
+    _write_in_order(m.select(*[f.name for f in MESSAGE_SCHEMA.fields]), f"{base}/src", "seq")
+    run_ingest(spark, f"{base}/src", f"{base}/docs", f"{base}/ckpt", FILES_PER_BATCH)
+    return f"{base}/docs"
+
+
+@register("stream_dead_letter", ORACLES["ingest_dead_letter"])
+def stream_dead_letter(spark, sf_dir):
+    """S12 + T1: the messages of the stream that give no document, with the reason; equals the batch job."""
+    return read_dead_letters(spark, f"{_damaged_stream(spark, sf_dir)}-dead").select("event_id", "reason")
+
+
+@register("stream_accepted", ORACLES["ingest_nulls"])
+def stream_accepted(spark, sf_dir):
+    """T1 + G1: the documents of all other messages of the stream; equals the batch job."""
+    d = read_upserted(spark, _damaged_stream(spark, sf_dir))
+    return d.select("event_id", "log_type", F.col("attributes.user_id").alias("user_id"),
+                    F.col("labels.evil").alias("evil"), F.col("labels.sus").alias("sus"))
+
+
 UNTIMED_EVERY, LATE_EVERY = 50, 20
 _DISTURBED = f"""docs2 AS (SELECT * REPLACE (
   CASE WHEN event_id % {UNTIMED_EVERY} = 7 THEN NULL ELSE event_ts END AS event_ts,

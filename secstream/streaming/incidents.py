@@ -1,68 +1,53 @@
 """Tumbling-window incident groups kept up to date by a stream of documents.
 
-Every micro-batch aggregates its own events per (host, window) and adds the
-partial counts, bounds and flags to the group table in one replay-safe merge.
-The table is the state: there is no state store that grows, no watermark that
-drops rows, and after any order of arrival the groups equal the batch result,
-late events and those without a parseable time (bucket 0) included. The group
-table is bucketed by window day, so a batch reads and rewrites only the days
-its events fall on; a large day is split over many files.
+Every micro-batch aggregates its own events per (host, window) and writes the
+partial counts, bounds and flags to its own folder; a replayed batch replaces it.
+The partials are the state: there is no state store that grows, no watermark that
+drops rows, and after any order of arrival their sum equals the batch result,
+late events and those without a parseable time (bucket 0) included. A batch reads
+nothing but the newest times of the batches before it.
 
 Rows worth a look are also kept as they came: ``untimed`` holds the documents
 without a time, ``late_events`` those more than ``watermark`` behind the newest event of
 the batches before theirs; a batch writes its own folder of either, and again when
-it is replayed. ``clock`` holds that newest event time.
+it is replayed. ``clock`` holds the newest event time of each batch.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import merge_parquet, read_manifest, read_upserted
+from ..operators.dedup import read_batches, write_batch
 from ..operators.incidents import add_partials, finish_groups, group_partials
 
 GROUPS, UNTIMED, LATE, CLOCK = "groups", "untimed", "late_events", "clock"
 
 
-def _day_bucket(window_minutes: int) -> Column:
-    return F.concat(F.lit("d"), F.floor(F.col("bucket") * window_minutes / 1440).cast("string"))
-
-
-def _newest(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    return (new if old is None else old.unionByName(new)).groupBy("name").agg(F.max("newest").alias("newest"))
-
-
 def run_incident_stream(spark: SparkSession, docs_stream: DataFrame, target_path: str, checkpoint: str,
                         window_minutes: int = 10, watermark: str = "1 day") -> None:
     """Drain ``docs_stream`` into the four tables under ``target_path``."""
     def table(name: str) -> str:
         return f"{target_path}/{name}"
 
-    run = f"r{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}"  # batch ids count per checkpoint
-
     def sink(batch: DataFrame, batch_id: int) -> None:
         def write(rows: DataFrame, name: str) -> None:
-            rows.write.mode("overwrite").parquet(f"{table(name)}/run={run}/batch={batch_id}")
+            write_batch(rows, table(name), batch_id, checkpoint)
 
         docs = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            done = {"batch_id": batch_id, "writer": checkpoint}
             write(docs.filter(F.col("event_time").isNull()), UNTIMED)
-            # the clock moves last: a replayed batch sees the one it saw before
+            # a replayed batch sees the times that it saw before: those of smaller numbers
             seen = None
-            if read_manifest(spark, table(CLOCK)).schema is not None:
-                seen = read_upserted(spark, table(CLOCK)).first()
+            if batch_id > 0:
+                seen = (read_batches(spark, table(CLOCK)).filter(F.col("number") < batch_id)
+                        .agg(F.max("newest").alias("newest")).first())
             late = F.lit(False) if seen is None or seen["newest"] is None else (
                 F.col("event_time") < F.lit(seen["newest"]) - F.expr(f"INTERVAL {watermark}"))
             write(docs.filter(late), LATE)
-            merge_parquet(spark, group_partials(docs, window_minutes), table(GROUPS), _day_bucket(window_minutes),
-                          lambda old, new: new if old is None else add_partials(old.unionByName(new)), **done)
-            clock = docs.agg(F.max("event_time").alias("newest")).select(F.lit("events").alias("name"), "newest")
-            merge_parquet(spark, clock, table(CLOCK), F.col("name"), _newest, **done)
+            write(group_partials(docs, window_minutes), GROUPS)
+            write(docs.agg(F.max("event_time").alias("newest")).withColumn("number", F.lit(batch_id)), CLOCK)
         finally:
             docs.unpersist()
 
@@ -75,9 +60,9 @@ def run_incident_stream(spark: SparkSession, docs_stream: DataFrame, target_path
 
 def read_groups(spark: SparkSession, target_path: str) -> DataFrame:
     """The groups with bounds and severity, as the batch operator gives them."""
-    return finish_groups(read_upserted(spark, f"{target_path}/{GROUPS}"))
+    return finish_groups(add_partials(read_batches(spark, f"{target_path}/{GROUPS}").drop("run", "batch")))
 
 
 def read_kept(spark: SparkSession, target_path: str, name: str) -> DataFrame:
     """The documents kept under ``UNTIMED`` or ``LATE``."""
-    return spark.read.parquet(f"{target_path}/{name}").drop("run", "batch")
+    return read_batches(spark, f"{target_path}/{name}").drop("run", "batch")

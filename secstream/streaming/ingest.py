@@ -11,12 +11,12 @@ checkpoint commits offsets only after the batch was written
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.dedup import upsert_parquet
-from ..operators.ingest import enrich_messages
+from ..operators.dedup import read_batches, upsert_parquet, write_batch
+from ..operators.ingest import accepted, rejected, route_messages
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
@@ -31,18 +31,32 @@ def message_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
 
 
 def run_ingest(spark: SparkSession, source_dir: str, target_path: str, checkpoint: str,
-               max_files_per_trigger: int = 1, transform=None) -> None:
-    """Drain ``source_dir`` into the upserted document table at ``target_path``."""
-    docs = enrich_messages(message_stream(spark, source_dir, max_files_per_trigger))
-    if transform is not None:
-        docs = transform(docs)
+               max_files_per_trigger: int = 1, transform=None, dead_path: str | None = None) -> None:
+    """Drain ``source_dir`` into the upserted document table at ``target_path``.
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        upsert_parquet(spark, batch, target_path, key="doc_id", order="seq", batch_id=batch_id,
-                       writer=checkpoint)
+    Every message of a batch is decoded and routed once: those that give no document go, with
+    the reason, to the batch's folder under ``dead_path`` (default: beside the table), so
+    documents and dead letters account for every message as in the batch job.
+    """
+    dead_path = dead_path or f"{target_path.rstrip('/')}-dead"
 
-    q = (docs.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        routed = route_messages(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            write_batch(rejected(routed), dead_path, batch_id, checkpoint)
+            docs = accepted(routed)
+            upsert_parquet(spark, docs if transform is None else transform(docs), target_path, key="doc_id", order="seq",
+                           batch_id=batch_id, writer=checkpoint)
+        finally:
+            routed.unpersist()
+
+    q = (message_stream(spark, source_dir, max_files_per_trigger).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
+
+
+def read_dead_letters(spark: SparkSession, dead_path: str) -> DataFrame:
+    """The messages that gave no document, with the reason."""
+    return read_batches(spark, dead_path).drop("run", "batch")

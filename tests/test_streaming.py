@@ -9,7 +9,7 @@ import __spark_entry__ as E
 import pytest
 
 from secstream.operators import dedup
-from secstream.operators.dedup import clean_versions, read_manifest, read_upserted, upsert_parquet
+from secstream.operators.dedup import read_upserted, upsert_parquet
 from secstream.session import checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
@@ -57,40 +57,52 @@ def _table(spark, name):
 SCHEMA = "doc_id string, seq int, v string"
 
 
-def test_upsert_stopped_before_its_manifest_loses_nothing(spark, monkeypatch):
+def test_upsert_stopped_in_its_write_loses_nothing(spark):
     path = _table(spark, "crash")
     upsert_parquet(spark, spark.createDataFrame([("aa1", 1, "x"), ("aa2", 1, "y"), ("bb1", 1, "z")], SCHEMA), path,
                    "doc_id", "seq", batch_id=0, writer="w")
     before = rows(read_upserted(spark, path))
     batch = spark.createDataFrame([("aa1", 2, "x2"), ("cc1", 2, "n")], SCHEMA)
-
-    def stop(*_):
-        raise RuntimeError("executor lost")
-    with monkeypatch.context() as m:
-        m.setattr(dedup, "_commit", stop)
-        with pytest.raises(RuntimeError):
-            upsert_parquet(spark, batch, path, "doc_id", "seq", batch_id=1, writer="w")
+    stopped = batch.withColumn("v", F.when(F.col("doc_id") == "cc1", F.raise_error(F.lit("executor lost"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="executor lost"):
+        upsert_parquet(spark, stopped, path, "doc_id", "seq", batch_id=1, writer="w")
     assert rows(read_upserted(spark, path)) == before
-    upsert_parquet(spark, batch, path, "doc_id", "seq", batch_id=1, writer="w")
+    for _ in range(2):  # the replay, and a replay of it
+        upsert_parquet(spark, batch, path, "doc_id", "seq", batch_id=1, writer="w")
     after = {r["doc_id"]: r["v"] for r in read_upserted(spark, path).collect()}
     assert after == {"aa1": "x2", "aa2": "y", "bb1": "z", "cc1": "n"}
-    # the untouched bucket still is the file of the first version; an older version stays readable until cleaned
-    assert read_manifest(spark, path).buckets == {"paa": 1, "pbb": 0, "pcc": 1}
-    assert rows(read_upserted(spark, path, version=0)) == before
-    assert clean_versions(spark, path, keep=1) == 1
-    assert {r["doc_id"]: r["v"] for r in read_upserted(spark, path).collect()} == after
+    assert dedup.read_batches(spark, path).count() == 5
+    dedup.compact(spark, path, f"{path}-compact", "doc_id")
+    assert rows(read_upserted(spark, f"{path}-compact")) == rows(read_upserted(spark, path))
 
 
-def test_upsert_reads_only_touched_buckets(spark):
-    path = _table(spark, "touched")
+def test_batches_of_two_writers_and_new_columns(spark):
+    path = _table(spark, "writers")
     upsert_parquet(spark, spark.createDataFrame([(f"{i:02x}", 1, "x") for i in range(64)], SCHEMA), path, "doc_id", "seq")
-    m = read_manifest(spark, path)
-    files = dedup._read_buckets(spark, path, m, {"p01", "p02"}).inputFiles()
-    assert len(m.buckets) == 64 and {f.split(f"{dedup.BUCKET}=")[1][:3] for f in files} == {"p01", "p02"}
     upsert_parquet(spark, spark.createDataFrame([], SCHEMA), path, "doc_id", "seq", batch_id=0)
-    upsert_parquet(spark, spark.createDataFrame([("01", 2, "y")], SCHEMA), path, "doc_id", "seq", batch_id=0, writer="b")
-    assert read_upserted(spark, path).count() == 64
-    assert read_upserted(spark, path).filter("doc_id = '01'").first()["v"] == "y"
+    wider = spark.createDataFrame([("01", 0, "y", 5)], SCHEMA + ", extra int")
+    upsert_parquet(spark, wider, path, "doc_id", "seq", batch_id=0, writer="b")
+    got = {r["doc_id"]: r for r in read_upserted(spark, path).collect()}
+    assert len(got) == 64 and (got["01"]["v"], got["01"]["extra"], got["02"]["extra"]) == ("y", 5, None)
+
+
+def test_stream_accounts_for_every_message(spark):
+    """Documents and dead letters of the stream are those of the batch job, after a restart too."""
+    from secstream.operators.ingest import accepted_documents, dead_letters
+    from secstream.plans.q_ingest import _damaged_messages
+    from secstream.plans.q_streaming import _write_in_order
+    from secstream.streaming.ingest import MESSAGE_SCHEMA, read_dead_letters, run_ingest
+    base = _table(spark, "dead")
+    m = _damaged_messages(spark, SF).withColumn("seq", F.col("event_id")).select(*[f.name for f in MESSAGE_SCHEMA.fields])
+    odd = spark.createDataFrame([("k", None, 0, -1), ("k", "", 0, -2), ("k", "{}", 0, -3), ("k", "[1]", 0, -4)], MESSAGE_SCHEMA)
+    m = m.unionByName(odd)
+    for part in (m.filter("event_id % 2 = 0"), m.filter("event_id % 2 <> 0")):
+        _write_in_order(part, f"{base}/src", "seq", batches=1)
+        run_ingest(spark, f"{base}/src", f"{base}/docs", f"{base}/ckpt", 2)
+    dead, docs = read_dead_letters(spark, f"{base}/docs-dead"), read_upserted(spark, f"{base}/docs")
+    assert rows(dead.select("event_id", "value", "reason")) == rows(dead_letters(m).select("event_id", "value", "reason"))
+    assert rows(docs.select("doc_id", "event_id")) == rows(accepted_documents(m).select("doc_id", "event_id"))
+    assert dead.count() + docs.count() == m.count()
 
 
 def test_incident_stream_counts_late_and_untimed_events(spark):
