@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.similarity import top_k_similar
+from ..operators.vector_index import build_index, recall, search_index
 from ..sources.tables import read_table
 from .registry import register
 
@@ -64,3 +65,29 @@ def similar_precision(spark, sf_dir):
         F.count_distinct("query_id").alias("queries"),
         F.round(F.avg(F.when(F.col("neighbor_label") == F.col("query_label"), 1.0).otherwise(0.0)), 6)
         .alias("precision_at_k"))
+
+
+PROBES = 16
+
+
+def _indexed(spark, sf_dir):
+    """Every vector indexed; queries are the rows whose id is divisible by 100."""
+    emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    queries = emb.filter(F.col("vec_id") % 100 == 0)
+    found = search_index(build_index(emb, "vec_id"), queries, K, "vec_id", probes=PROBES, exclude_self=True)
+    return queries, emb, found
+
+
+@register("similar_index")
+def similar_index(spark, sf_dir):
+    """J1, approximate: the 5 nearest vectors by the inverted-file index (rows-only; see ``similar_index_recall``)."""
+    return _indexed(spark, sf_dir)[2].withColumnRenamed("vec_id", "query_id")
+
+
+@register("similar_index_recall", """
+SELECT count(*) AS queries, TRUE AS at_least_90_percent FROM embeddings WHERE vec_id % 100 = 0""")
+def similar_index_recall(spark, sf_dir):
+    """The index against the exact top 5; at least 0.9 of the exact pairs must be found."""
+    queries, emb, found = _indexed(spark, sf_dir)
+    exact = top_k_similar(queries, emb, K, "vec_id", "vec_id", "embedding", exclude_self=True)
+    return recall(found, exact, "vec_id").select("queries", (F.col("recall") >= 0.9).alias("at_least_90_percent"))
