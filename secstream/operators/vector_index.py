@@ -104,13 +104,13 @@ def build_index(corpus: DataFrame, id_col: str = "id", vec_col: str = "embedding
     rows = _whole(corpus.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")), "v").where("id is not null")
     sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()]
     lengths = [len(v) for v in sample]
-    dim = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 0
+    dim = max(set(lengths), key=lambda n: (lengths.count(n), n)) if lengths else 1
     rows = rows.where(F.size("v") == dim)
     wanted = cells or min(MOST_CELLS, max(1, math.isqrt(rows.count())))
     held = np.array([v for v in sample if len(v) == dim], np.float64).reshape(-1, dim)
-    centres = spherical_centres(held, min(wanted, len(held)))
+    centres = spherical_centres(held, min(wanted, len(held))) if len(held) else held
     if not len(centres):
-        centres = np.zeros((1, max(dim, 1)))
+        centres = np.zeros((1, dim))
     placed = (_near_cells(rows, "v", centres, 1).select("id", "v", F.col("cells")[0].alias("cell")).checkpoint())
     parts = (placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
              .select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts")).checkpoint())
