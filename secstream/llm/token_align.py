@@ -114,6 +114,10 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, size) + np.arange(size.sum())
 
 
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+
+
 def _joiner(tokens: list[bytes]):
     """A function from token numbers to their joined bytes and each token's end."""
     table = np.frombuffer(b"".join(tokens), np.uint8)
@@ -139,13 +143,15 @@ class Aligner:
         # an id as text with what follows it: A inside a group and at its end, B inside, at its end, and at the window's end
         self.symbols = np.array([f"{i}{after}" for size, marks in ((len(self.a_len), ",|"), (self.base, (",", ";", "")))
                                  for after in marks for i in range(size)], object)
+        # with a token for every byte, rank merges cover any text
+        self.lossless_a = tokenizers.ranked is not None and {bytes([i]) for i in range(256)} <= set(tokenizers.a_bytes)
         self.a_joined, self.b_joined = _joiner(tokenizers.a_bytes), _joiner(tokenizers.b_bytes)
         self.a_space = np.array([t[:1] == b" " for t in tokenizers.a_bytes])
         self.b_space = np.array([t[:1] == b" " for t in tokenizers.b_bytes])
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[tuple[tuple[int, ...], tuple[int, ...]], int] = {}
+        self.memo: dict[tuple[int, ...], int] = {}
         self.texts: list[str] = []
         self.starts, self.counts, self.codes = array("q"), array("q"), array("q")
 
@@ -174,22 +180,16 @@ class Aligner:
         self.counts.frombytes(counts.astype(np.int64).tobytes())
         self.codes.frombytes((a[closes_a].astype(np.int64) * self.base + b[partner[closes_a]]).tobytes())
 
-    def covered(self, texts: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
-        """Whether both sides' joined bytes are a space and the text."""
+    def covered(self, texts: list[str], ids: list[list[int]], tokens: np.ndarray, joined_of, of: list[bytes]) -> list[bool]:
+        """Whether one side's joined bytes are a space and the text."""
         wanted = [b" " + t.encode() for t in texts]
+        joined, ends = joined_of(tokens)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
         sizes = np.fromiter(map(len, wanted), np.int64, len(wanted))
-        whole = np.frombuffer(b"".join(wanted), np.uint8)
-        for ids, bytes_of in ((ids_a, self.a_joined), (ids_b, self.b_joined)):
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            tokens = np.fromiter(chain.from_iterable(ids), np.int64, counts.sum())
-            joined, ends = bytes_of(tokens)
-            if not (np.array_equal(np.append(0, ends)[np.cumsum(counts)], np.cumsum(sizes)) and np.array_equal(joined, whole)):
-                break
-        else:
+        if np.array_equal(np.append(0, ends)[np.cumsum(counts)], np.cumsum(sizes)) and np.array_equal(
+                joined, np.frombuffer(b"".join(wanted), np.uint8)):
             return [True] * len(texts)
-        of_a, of_b = self.tok.a_bytes.__getitem__, self.tok.b_bytes.__getitem__
-        return [b"".join(map(of_a, x)) == want and b"".join(map(of_b, y)) == want
-                for want, x, y in zip(wanted, ids_a, ids_b, strict=True)]
+        return [b"".join(map(of.__getitem__, own)) == want for want, own in zip(wanted, ids, strict=True)]
 
     def align(self, texts: list[str]) -> list[tuple[int, int, np.ndarray, str] | None]:
         """Per text (tokens of A, tokens of B, link codes, groups as text); None without tokens."""
@@ -197,33 +197,43 @@ class Aligner:
             self.forget()
         full = [i for i, t in enumerate(texts) if t]
         ids_a, ids_b = self.tok.encode([texts[i] for i in full])
-        good = self.covered([texts[i] for i in full], ids_a, ids_b)
-        full = [i for i, g in zip(full, good, strict=True) if g]
-        ids_a, ids_b = ([x for x, g in zip(ids, good, strict=True) if g] for ids in (ids_a, ids_b))
+        a, b = _flat(ids_a), _flat(ids_b)
+        good = self.covered([texts[i] for i in full], ids_b, b, self.b_joined, self.tok.b_bytes)
+        if not self.lossless_a:
+            good_a = self.covered([texts[i] for i in full], ids_a, a, self.a_joined, self.tok.a_bytes)
+            good = [x and y for x, y in zip(good, good_a, strict=True)]
+        if not all(good):
+            full = [i for i, g in zip(full, good, strict=True) if g]
+            ids_a, ids_b = ([x for x, g in zip(ids, good, strict=True) if g] for ids in (ids_a, ids_b))
+            a, b = _flat(ids_a), _flat(ids_b)
         out: list = [None] * len(texts)
         if not full:
             return out
-        all_a, all_b = tuple(chain.from_iterable(ids_a)), tuple(chain.from_iterable(ids_b))
-        a, b = np.array(all_a, np.int32), np.array(all_b, np.int32)
         end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         start_a, start_b = np.append(0, end_a[:-1]), np.append(0, end_b[:-1])
         total = np.cumsum(np.fromiter((len(texts[i].encode()) + 1 for i in full), np.int64, len(full)))
         heads = np.concatenate(([0], total[:-1]))
         anchors = np.union1d(np.intersect1d(start_a[self.a_space[a]], start_b[self.b_space[b]], assume_unique=True), heads)
-        cut_a = np.append(np.searchsorted(start_a, anchors), len(a)).tolist()
-        cut_b = np.append(np.searchsorted(start_b, anchors), len(b)).tolist()
+        cut_a = np.append(np.searchsorted(start_a, anchors), len(a))
+        cut_b = np.append(np.searchsorted(start_b, anchors), len(b))
+        # the ids of a window, A before B (B's above all of A's), lie together: a slice is the key of both tuples
+        both = np.empty(len(a) + len(b), np.int64)
+        both[np.arange(len(a)) + np.repeat(cut_b[:-1], np.diff(cut_a))] = a
+        both[np.arange(len(b)) + np.repeat(cut_a[1:], np.diff(cut_b))] = b + len(self.a_len)
+        ids, cuts = tuple(both.tolist()), (cut_a + cut_b).tolist()
         memo, get = self.memo, self.memo.get
-        windows: list[int] = []
-        new: list[tuple[int, int, int, int]] = []
-        for i0, i1, j0, j1 in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False):
-            key = all_a[i0:i1], all_b[j0:j1]
+        windows = [get(ids[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+        new: list[int] = []
+        for w in [w for w, at in enumerate(windows) if at is None]:
+            key = ids[cuts[w]:cuts[w + 1]]
             at = get(key)
             if at is None:
                 at = memo[key] = len(memo)
-                new.append((i0, i1, j0, j1))
-            windows.append(at)
+                new.append(w)
+            windows[w] = at
         if new:
-            self.learn(np.array(new), a, b, end_a, end_b)
+            w = np.array(new)
+            self.learn(np.stack((cut_a[w], cut_a[w + 1], cut_b[w], cut_b[w + 1]), axis=1), a, b, end_a, end_b)
         number = np.array(windows, np.int64)
         counts = np.frombuffer(self.counts, np.int64)[number]
         starts = np.frombuffer(self.starts, np.int64)[number]
