@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..functions.timeparse import parse_iso
+from .doc_store import request_bounds, time_bounds
 
 # ---- fixed values ----------------------------------------------------------
 BM25_K1 = 1.2
@@ -35,9 +36,10 @@ MAX_PAGE_SIZE = 500
 def build_predicate(log_type: str | None = None, sus: int | None = None, evil: int | None = None,
                     host_name: str | None = None, process_name: str | None = None,
                     timestamp_from: str | None = None, timestamp_to: str | None = None,
-                    time_col: str = "event_time") -> Column:
+                    time_col: str = "event_time", stored: bool = False) -> Column:
     """AND of the given conditions; nothing given -> all rows.
-    Empty-string time bounds are ignored."""
+    Empty-string time bounds are ignored. ``stored``: the rows come from
+    ``doc_store``, whose days the time bounds select too."""
     if log_type is not None and log_type not in ("dns", "deep_kernel", "standard_host"):
         raise ValueError("log_type must be dns, deep_kernel or standard_host")
     for name, v in (("sus", sus), ("evil", evil)):
@@ -58,6 +60,8 @@ def build_predicate(log_type: str | None = None, sus: int | None = None, evil: i
         preds.append(F.col(time_col) >= parse_iso(F.lit(timestamp_from)))
     if timestamp_to:
         preds.append(F.col(time_col) <= parse_iso(F.lit(timestamp_to)))
+    if stored:
+        preds.append(request_bounds(timestamp_from, timestamp_to))
     return functools.reduce(operator.and_, preds, F.lit(True))
 
 
@@ -126,9 +130,10 @@ def keyset_page(df: DataFrame, after_score: float | None, after_id, page_size: i
 
 
 def recent_flagged(docs: DataFrame, as_of: str, lookback_minutes: int = 60, min_sus: bool = True,
-                   min_evil: bool = True, max_events: int = 500) -> DataFrame:
+                   min_evil: bool = True, max_events: int = 500, stored: bool = False) -> DataFrame:
     """Flagged events in ``[as_of - lookback, as_of]``, the oldest
-    ``max_events`` of them (ordered by time, then id)."""
+    ``max_events`` of them (ordered by time, then id). ``stored``: the rows come
+    from ``doc_store``, of which only the days of the window are read."""
     if not (min_sus or min_evil):
         raise ValueError("at least one of min_sus / min_evil must be set")
     if not 1 <= lookback_minutes <= 1440:
@@ -143,4 +148,6 @@ def recent_flagged(docs: DataFrame, as_of: str, lookback_minutes: int = 60, min_
     end = parse_iso(F.lit(as_of))
     start = end - F.make_interval(mins=F.lit(lookback_minutes))
     sel = docs.filter(functools.reduce(operator.or_, flags)).filter(F.col("event_time").between(start, end))
+    if stored:
+        sel = sel.filter(time_bounds(start, end))
     return sel.orderBy(F.col("event_time").asc(), F.col("doc_id").asc()).limit(max_events)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import document_text, query_text
 from ..operators import search as S
 from ..sources.tables import read_table
-from .inputs import event_docs
+from .inputs import event_docs, stored_event_docs
 from .registry import register
 from .sql_events import with_docs
 
@@ -21,15 +21,15 @@ _REQ_WHERE = ("log_type = 'deep_kernel' AND sus = 1 AND event_ts >= TIMESTAMP '2
 @register("search_filter", with_docs(f"SELECT count(*) AS total FROM docs WHERE {_REQ_WHERE}"))
 def search_filter(spark, sf_dir):
     """F1-F3 + A10: exact total of a filter-only request."""
-    docs = event_docs(spark, sf_dir)
-    return docs.filter(S.build_predicate(**REQUEST)).agg(F.count(F.lit(1)).alias("total"))
+    docs = stored_event_docs(spark, sf_dir)
+    return docs.filter(S.build_predicate(**REQUEST, stored=True)).agg(F.count(F.lit(1)).alias("total"))
 
 
 @register("search_type_counts", with_docs(
     "SELECT log_type, count(*) AS total FROM docs WHERE sus = 1 GROUP BY log_type"))
 def search_type_counts(spark, sf_dir):
     """Per-type totals of one filter (they add up to the untyped total)."""
-    docs = event_docs(spark, sf_dir).filter(S.build_predicate(sus=1))
+    docs = stored_event_docs(spark, sf_dir).filter(S.build_predicate(sus=1))
     return docs.groupBy("log_type").agg(F.count(F.lit(1)).alias("total"))
 
 
@@ -38,11 +38,26 @@ SELECT doc_id, CAST(0.0 AS DOUBLE) AS score, timestamp, host_name FROM docs WHER
 ORDER BY score DESC, doc_id LIMIT 25 OFFSET 25"""))
 def search_page(spark, sf_dir):
     """O1: page 2 (size 25) of the filter-only request; filter-only hits score 0."""
-    docs = event_docs(spark, sf_dir).filter(S.build_predicate(**REQUEST))
+    docs = stored_event_docs(spark, sf_dir).filter(S.build_predicate(**REQUEST, stored=True))
     hits = docs.select("doc_id", F.lit(0.0).alias("score"), "timestamp", "attributes.host_name")
     return S.page(hits, page_no=2, page_size=25)
 
 
+# A request by host, process and malicious flag: documents of one host.
+HOST_REQUEST = dict(log_type="standard_host", evil=0, host_name="host-7", process_name="python3",
+                    timestamp_from="2024-01-02T00:00:00Z", timestamp_to="2024-01-25T00:00:00Z")
+
+
+@register("search_host", with_docs("""
+SELECT doc_id, timestamp, host_name, process_name FROM docs
+WHERE log_type = 'standard_host' AND evil = 0 AND host_name = 'host-7' AND process_name = 'python3'
+  AND event_ts >= TIMESTAMP '2024-01-02 00:00:00' AND event_ts <= TIMESTAMP '2024-01-25 00:00:00'"""))
+def search_host(spark, sf_dir):
+    """F1-F3 on stored documents: one host and process, flag and time range."""
+    docs = stored_event_docs(spark, sf_dir).filter(S.build_predicate(**HOST_REQUEST, stored=True))
+    return docs.select("doc_id", "timestamp", "attributes.host_name", "attributes.process_name")
+
+
 BM25_QUERY = "password secret token of the"
 
 
@@ -79,8 +94,8 @@ WHERE (sus = 1 OR evil = 1)
 ORDER BY event_ts, doc_id LIMIT 200"""))
 def recent_flagged(spark, sf_dir):
     """F5 + F6 + O4: flagged events of the last day before ``as_of``, oldest 200."""
-    docs = event_docs(spark, sf_dir)
-    out = S.recent_flagged(docs, "2024-01-15T12:00:00Z", lookback_minutes=1440, max_events=200)
+    docs = stored_event_docs(spark, sf_dir)
+    out = S.recent_flagged(docs, "2024-01-15T12:00:00Z", lookback_minutes=1440, max_events=200, stored=True)
     return out.select("doc_id", "event_id", "timestamp", "log_type", "labels.sus", "labels.evil")
 
 

@@ -16,7 +16,7 @@ from ..operators.ingest import flat_documents
 from ..session import checkpoint_dir
 from ..sources.runbooks import parse_runbook
 from ..sources.tables import read_table
-from .inputs import event_docs
+from .inputs import event_docs, stored_event_docs
 from .q_context import _RUNBOOK_SQL, runbook_files
 from .registry import register
 from .sql_events import ENRICHED_COLUMNS, with_docs
@@ -28,8 +28,8 @@ def _place(spark, name: str) -> str:
 
 @register("flagged_scan", with_docs("SELECT doc_id, log_type, sus, evil FROM docs WHERE sus = 1 OR evil = 1"))
 def flagged_scan(spark, sf_dir):
-    """The flagged documents."""
-    return S.flagged(event_docs(spark, sf_dir)).select("doc_id", "log_type", "labels.sus", "labels.evil")
+    """The flagged documents of the stored table."""
+    return S.flagged(stored_event_docs(spark, sf_dir)).select("doc_id", "log_type", "labels.sus", "labels.evil")
 
 
 @register("vector_sink", with_docs("""
