@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,23 +27,30 @@ def flat_event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_documents(event_docs(spark, sf_dir)).select(*ENRICHED_COLUMNS)
 
 
-_stored: dict[tuple, tuple] = {}
+_written: dict[tuple, str] = {}
 
 
-def stored_event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event documents as the ingest job stores them (``doc_store``), under ``spark.checkpoint.dir``.
+def once_a_session(spark: SparkSession, sf_dir: str, table: str, name: str, write: Callable[[str], None]) -> str:
+    """The folder of a table derived from ``table``, under ``spark.checkpoint.dir``.
 
-    The first key of a session that needs them runs the job; the others read its table, as
-    long as the files of ``events`` are the same (paths, times and lengths).
+    The first key of a session that needs it writes it by ``write(path)``; the others read it,
+    as long as the files of ``table`` are the same (paths, times and lengths).
     """
-    files = (spark.read.format("binaryFile").load(table_path(sf_dir, "events"))
+    files = (spark.read.format("binaryFile").load(table_path(sf_dir, table))
              .select("path", F.unix_micros("modificationTime").alias("at"), "length"))
     state = files.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("path", "at", "length").cast("decimal(38,0)"))
                       .alias("digest")).first()
-    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), sf_dir, state["n"], state["digest"])
-    if key not in _stored:
-        path = os.path.join(checkpoint_dir(spark), "documents", uuid.uuid4().hex)
-        docs = event_docs(spark, sf_dir)
-        write_documents(docs, path)
-        _stored[key] = (path, docs.schema)
-    return read_documents(spark, *_stored[key])
+    folder = os.path.join(checkpoint_dir(spark), name)
+    key = (spark.sparkContext.applicationId, folder, sf_dir, state["n"], state["digest"])
+    if key not in _written:
+        path = os.path.join(folder, uuid.uuid4().hex)
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
+def stored_event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event documents as the ingest job stores them (``doc_store``)."""
+    docs = event_docs(spark, sf_dir)
+    path = once_a_session(spark, sf_dir, "events", "documents", lambda p: write_documents(docs, p))
+    return read_documents(spark, path, docs.schema)
