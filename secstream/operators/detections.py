@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import HIGH_ENTROPY, NETWORK_PATTERN, has_pattern
 from ..functions.timeparse import epoch_seconds, parse_iso
+from .carry import last_before, previous
 from .incidents import incident_events, incident_groups, severity_from_flags, severity_rank
 from .ranking import exact_rank
 
@@ -102,13 +103,14 @@ def rule_findings(host_docs: DataFrame) -> DataFrame:
 
 
 def beaconing(dns_docs: DataFrame, min_calls: int = 5, max_cv: float = 0.1) -> DataFrame:
-    """Regular intervals from one host to one base domain: gaps by
-    ``lag``, then mean, sample standard deviation and their ratio."""
+    """Regular intervals from one host to one base domain: gaps to the call
+    before (carried over ranges, so a busy pair is split), then mean, sample
+    standard deviation and their ratio."""
     d = dns_docs.select(F.col("attributes.source_ip").alias("host"),
                         base_domain(F.col("attributes.dns_query")).alias("domain"),
                         epoch_seconds(F.col("event_time")).alias("t"), "doc_id")
-    w = Window.partitionBy("host", "domain").orderBy("t", "doc_id")
-    g = d.withColumn("gap", F.col("t") - F.lag("t").over(w))
+    g = last_before(d, ["host", "domain"], ["t", "doc_id"], F.col("t"), "before") \
+        .withColumn("gap", F.col("t") - F.col("before"))
     out = g.groupBy("host", "domain").agg(F.count(F.lit(1)).alias("calls"), F.avg("gap").alias("avg_gap"),
                                           F.stddev_samp("gap").alias("sd_gap"))
     cv = F.try_divide(F.col("sd_gap"), F.col("avg_gap"))  # calls in one instant have no ratio
@@ -166,8 +168,8 @@ def exec_after_write(host_docs: DataFrame, keys: dict[str, Column], minutes: int
 
 def process_parents(host_docs: DataFrame, pid: Column, parent_pid: Column) -> DataFrame:
     """Each event with the latest earlier event of its parent process on the same
-    host, as one ordered pass over (host, process id) instead of a self join that
-    would list every earlier event. ``root_from_user``: root below a non-root
+    host, carried over ranges of (host, process id, time): no self join that would list
+    every earlier event, and the children of one busy parent are split over tasks. ``root_from_user``: root below a non-root
     parent; ``shell_from_web``: a shell below a web server."""
     base = host_docs.filter(F.col("event_time").isNotNull()).select(
         "doc_id", F.col("attributes.host_name").alias("host"), pid.alias("_pid"), parent_pid.alias("_ppid"),
@@ -179,9 +181,9 @@ def process_parents(host_docs: DataFrame, pid: Column, parent_pid: Column) -> Da
                     F.struct(F.col("_ppid").alias("key"), nothing.alias("parent"), me.alias("child")))
     both = base.select("host", "_t", "doc_id", F.inline(sides)).filter(F.col("key").isNotNull())
     # at one instant parents come first, in the order of their ids
-    w = Window.partitionBy("host", "key").orderBy("_t", F.col("child").isNotNull(), "doc_id") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    j = both.withColumn("p", F.last("parent", True).over(w)).filter(F.col("child").isNotNull() & F.col("p").isNotNull())
+    both = both.withColumn("_c", F.col("child").isNotNull())
+    j = last_before(both, ["host", "key"], ["_t", "_c", "doc_id"], F.col("parent"), "p", inclusive=True) \
+        .filter(F.col("child").isNotNull() & F.col("p").isNotNull())
     c, p = (lambda n: F.col(f"child.{n}")), (lambda n: F.col(f"p.{n}"))
     return j.select(
         c("doc_id").alias("doc_id"), p("doc_id").alias("parent_id"), "host",
@@ -239,9 +241,10 @@ def _islands(groups: DataFrame, keys: list[str], max_gap_buckets: int) -> DataFr
 
 def counter_increase(df: DataFrame, key: str, t: Column, v: Column, tiebreak: str) -> DataFrame:
     """Counter increase with reset handling (a drop means a reset, the
-    new value is the increase) and the rate per hour over the key's span."""
-    w = Window.partitionBy(key).orderBy("_t", tiebreak)
-    d = df.withColumn("_t", t).withColumn("_v", v).withColumn("_p", F.lag("_v").over(w))
+    new value is the increase) and the rate per hour over the key's span. The value
+    before is carried over ranges, so a key with many samples is split over tasks."""
+    d = df.select(key, tiebreak, t.alias("_t"), v.alias("_v"))
+    d = previous(d, [key], ["_t", tiebreak], ["_v"], "_before").withColumn("_p", F.col("_before._v"))
     inc = F.when(F.col("_p").isNull(), F.lit(0.0)).when(F.col("_v") < F.col("_p"), F.col("_v")) \
         .otherwise(F.col("_v") - F.col("_p"))
     g = d.withColumn("_inc", inc).groupBy(key).agg(
