@@ -13,39 +13,37 @@ from ..functions.features import with_features
 from ..functions.ids import doc_id
 from ..functions.timeparse import parse_iso
 from ..sources import envelope
-from .parse import KNOWN_LOG_TYPES, parse_documents
+from .parse import parse_documents
+from .registry import PARSERS, Parsers
 
 
-def enrich(raw_rows: DataFrame, numeric_epoch: bool = False, keep_null_labels: bool = False) -> DataFrame:
+def enrich(raw_rows: DataFrame, numeric_epoch: bool = False, keep_null_labels: bool = False,
+           parsers: Parsers = PARSERS) -> DataFrame:
     """(…, source_file, log_type, raw) -> enriched documents with ``doc_id``
     and a typed ``event_time`` (null when the text does not parse)."""
-    docs = with_features(parse_documents(raw_rows, keep_null_labels))
-    return docs.withColumn("doc_id", doc_id()).withColumn(
+    docs = with_features(parse_documents(raw_rows, keep_null_labels, parsers))
+    return docs.withColumn("doc_id", doc_id(parsers.id_fields)).withColumn(
         "event_time", parse_iso(F.col("timestamp"), numeric_epoch=numeric_epoch))
 
 
-def enrich_messages(messages: DataFrame, value_col: str = "value") -> DataFrame:
+def enrich_messages(messages: DataFrame, value_col: str = "value", parsers: Parsers = PARSERS) -> DataFrame:
     """S10 + T1: JSON envelopes -> enriched documents."""
-    return enrich(envelope.decode(messages, value_col), keep_null_labels=True)
+    return enrich(envelope.decode(messages, value_col, parsers.raw_fields), keep_null_labels=True, parsers=parsers)
 
 
-_RANGES = {"DnsResponseCode": "int", "argsNum": "int", "eventId": "bigint", "returnValue": "bigint", "processId": "bigint",
-           "parentProcessId": "bigint", "userId": "bigint", "threadId": "bigint", "mountNamespace": "bigint"}
-
-
-def route_messages(messages: DataFrame, value_col: str = "value") -> DataFrame:
+def route_messages(messages: DataFrame, value_col: str = "value", parsers: Parsers = PARSERS) -> DataFrame:
     """The decoded messages with ``reason``, null for those that give a document.
 
     ``undecodable``: no JSON envelope with a raw record; ``unknown_type``: a log
     type without a parser; ``out_of_range``: a number that its column cannot hold.
     """
-    rows = envelope.decode(messages.withColumn("_message", F.col(value_col)), value_col)
+    rows = envelope.decode(messages.withColumn("_message", F.col(value_col)), value_col, parsers.raw_fields)
     outside = F.lit(False)
-    for name, kind in _RANGES.items():
+    for name, kind in parsers.ranges.items():
         number = F.col(f"raw.{name}")
         outside = outside | (number.isNotNull() & number.try_cast(kind).isNull())
     reason = (F.when(F.col("raw").isNull(), "undecodable")
-              .when(~F.coalesce(F.col("log_type").isin(*KNOWN_LOG_TYPES), F.lit(False)), "unknown_type")
+              .when(~parsers.is_known(), "unknown_type")
               .when(outside, "out_of_range"))
     return rows.withColumn("reason", reason)
 
@@ -62,18 +60,18 @@ def rejected(routed: DataFrame, value_col: str = "value") -> DataFrame:
     return _where_flat(routed, F.col("reason").isNotNull(), kept).withColumnRenamed("_message", value_col)
 
 
-def accepted(routed: DataFrame) -> DataFrame:
+def accepted(routed: DataFrame, parsers: Parsers = PARSERS) -> DataFrame:
     """Enriched documents of all other routed messages: with the rejected ones they account for every message."""
     kept = [c for c in routed.columns if c not in ("reason", "_message")]
-    return enrich(_where_flat(routed, F.col("reason").isNull(), kept), keep_null_labels=True)
+    return enrich(_where_flat(routed, F.col("reason").isNull(), kept), keep_null_labels=True, parsers=parsers)
 
 
-def dead_letters(messages: DataFrame, value_col: str = "value") -> DataFrame:
-    return rejected(route_messages(messages, value_col), value_col)
+def dead_letters(messages: DataFrame, value_col: str = "value", parsers: Parsers = PARSERS) -> DataFrame:
+    return rejected(route_messages(messages, value_col, parsers), value_col)
 
 
-def accepted_documents(messages: DataFrame, value_col: str = "value") -> DataFrame:
-    return accepted(route_messages(messages, value_col))
+def accepted_documents(messages: DataFrame, value_col: str = "value", parsers: Parsers = PARSERS) -> DataFrame:
+    return accepted(route_messages(messages, value_col, parsers), parsers)
 
 
 def flat_documents(docs: DataFrame) -> DataFrame:

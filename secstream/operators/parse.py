@@ -1,7 +1,7 @@
 """Route raw rows by log type into one document schema.
 
-One ``select`` with a ``when`` per branch replaces the per-type parser
-classes: the three branches share a single pass over the input and the
+One ``select`` with a ``when`` per branch of the parser registry replaces the
+per-type parser classes: all log types share a single pass over the input and the
 output schema is the union of all branch fields (absent ones are null).
 Rows of an unknown log type give no document here; ``ingest.dead_letters``
 reports them, with undecodable and out-of-range ones, for a dead-letter table.
@@ -16,71 +16,37 @@ source file ``unknown``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_LOG_TYPES = ("dns", "deep_kernel", "standard_host")
+from .registry import PARSERS, Parsers, _int
 
+KNOWN_LOG_TYPES = PARSERS.log_types
 
-def _long(c: Column) -> Column:
-    return c.try_cast("bigint")
 
-
-def _int(c: Column) -> Column:
-    return c.try_cast("int")
-
-
-def parse_documents(df: DataFrame, keep_null_labels: bool = False) -> DataFrame:
+def parse_documents(df: DataFrame, keep_null_labels: bool = False, parsers: Parsers = PARSERS) -> DataFrame:
     """(…, source_file, log_type, raw) -> parsed documents (only known types).
 
     The router emits zero or one document per row through ``inline`` (a
     flat-map), not a ``Filter``: a filter on the routed type would be pushed
     below the decoding projection and repeat the whole JSON decode inside
     the predicate."""
-    known = df
-    r = lambda name: F.col(f"raw.{name}")
-    dns = F.col("log_type") == "dns"
-    kern = F.col("log_type") == "deep_kernel"
-    host = ~dns
-
-    def only(cond: Column, value: Column, dtype: str) -> Column:
-        return F.when(cond, value).otherwise(F.lit(None).cast(dtype))
-
-    attributes = F.struct(
-        only(dns, F.coalesce(r("SourceIP"), F.lit("")), "string").alias("source_ip"),
-        only(dns, F.coalesce(r("DestinationIP"), F.lit("")), "string").alias("destination_ip"),
-        only(dns, F.coalesce(r("DnsQuery"), F.lit("")), "string").alias("dns_query"),
-        only(dns, _int(r("DnsResponseCode")), "int").alias("dns_response_code"),
-        only(host, F.coalesce(r("hostName"), F.lit("")), "string").alias("host_name"),
-        only(host, _long(r("eventId")), "bigint").alias("event_id"),
-        only(host, _long(r("returnValue")), "bigint").alias("return_value"),
-        only(host, _long(r("processId")), "bigint").alias("process_id"),
-        only(host, _long(r("parentProcessId")), "bigint").alias("parent_process_id"),
-        only(host, F.coalesce(r("processName"), F.lit("")), "string").alias("process_name"),
-        only(host, _long(r("userId")), "bigint").alias("user_id"),
-        only(kern, _long(r("threadId")), "bigint").alias("thread_id"),
-        only(kern, _long(r("mountNamespace")), "bigint").alias("mount_namespace"),
-        only(kern, F.coalesce(r("stackAddresses"), F.lit("")), "string").alias("stack_addresses"),
-        only(host, _int(r("argsNum")), "int").alias("args_num"),
-        only(host, r("args"), "string").alias("args"),
-    )
+    top, attributes = parsers.document_columns()
+    nothing = F.lit(None).cast("string")
     labels = F.struct(
-        *(F.coalesce(_int(r(n)), F.lit(None if keep_null_labels else 0).cast("int")).alias(n) for n in ("sus", "evil")),
+        *(F.coalesce(_int(F.col(f"raw.{n}")), F.lit(None if keep_null_labels else 0).cast("int")).alias(n)
+          for n in ("sus", "evil")),
     )
-    extra = [c for c in known.columns if c not in ("source_file", "log_type", "raw")]
+    extra = [c for c in df.columns if c not in ("source_file", "log_type", "raw")]
     doc = F.struct(
         *[F.col(c) for c in extra],
         F.coalesce(F.col("source_file"), F.lit("unknown")).alias("source_file"),
         F.col("log_type"),
-        F.when(dns, F.coalesce(r("DnsTimestamp"), F.lit(""))).otherwise(F.coalesce(r("timestamp"), F.lit("")))
-        .alias("timestamp"),
-        only(dns, F.lit("network_dns"), "string").alias("log_attribute"),
-        F.when(dns, F.lit(None).cast("string"))
-        .when(kern, F.coalesce(r("eventName"), F.lit("unknown_kernel_event")))
-        .otherwise(F.coalesce(r("eventName"), F.lit("unknown_event"))).alias("event_name"),
-        attributes.alias("attributes"),
+        F.coalesce(top["timestamp"], F.lit("")).alias("timestamp"),
+        top.get("log_attribute", nothing).alias("log_attribute"),
+        top.get("event_name", nothing).alias("event_name"),
+        F.struct(*[c.alias(n) for n, c in attributes.items()]).alias("attributes"),
         labels.alias("labels"),
     )
-    is_known = F.coalesce(F.col("log_type").isin(*KNOWN_LOG_TYPES), F.lit(False))
-    return known.select(F.inline(F.when(is_known, F.array(doc)).otherwise(F.array().cast(
-        known.select(F.array(doc)).schema[0].dataType))))
+    return df.select(F.inline(F.when(parsers.is_known(), F.array(doc)).otherwise(F.array().cast(
+        df.select(F.array(doc)).schema[0].dataType))))

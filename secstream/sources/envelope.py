@@ -74,13 +74,17 @@ def _quoted_number(value: Column, name: str) -> Column:
     return F.when(F.instr(text, f'"{name}":"') + F.instr(text, f'"{name}": "') > 0, quoted.try_cast("double"))
 
 
-def decode(messages: DataFrame, value_col: str = "value") -> DataFrame:
-    """JSON messages -> (source_file, log_type, raw) with numbers cleaned."""
-    parsed = messages.withColumn("_env", F.from_json(F.col(value_col).cast("string"), ENVELOPE_SCHEMA,
+def decode(messages: DataFrame, value_col: str = "value", more_fields: dict[str, T.DataType] | None = None) -> DataFrame:
+    """JSON messages -> (source_file, log_type, raw) with numbers cleaned. ``more_fields``: raw
+    fields of further log types, read in the same pass."""
+    more = [T.StructField(n, t) for n, t in (more_fields or {}).items()]
+    schema = T.StructType([*ENVELOPE_SCHEMA.fields[:2], T.StructField("raw", T.StructType([*WIRE_RAW_SCHEMA.fields, *more]))])
+    raw_schema = T.StructType([*RAW_SCHEMA.fields, *more])
+    parsed = messages.withColumn("_env", F.from_json(F.col(value_col).cast("string"), schema,
                                                      {"allowNonNumericNumbers": "true"}))
-    parsed = parsed.withColumn("_raw", F.col("_env.raw").cast(RAW_SCHEMA))
+    parsed = parsed.withColumn("_raw", F.col("_env.raw").cast(raw_schema))
     raw_fields = []
-    for f in RAW_SCHEMA.fields:
+    for f in raw_schema.fields:
         c = F.col(f"_raw.{f.name}")
         if isinstance(f.dataType, T.DoubleType):
             c = clean_number(c)

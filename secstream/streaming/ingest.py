@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..operators.dedup import read_batches, upsert_parquet, write_batch
 from ..operators.ingest import accepted, rejected, route_messages
+from ..operators.registry import PARSERS, Parsers
 
 MESSAGE_SCHEMA = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("value", T.StringType()),
@@ -31,7 +32,8 @@ def message_stream(spark: SparkSession, source_dir: str, max_files_per_trigger:
 
 
 def run_ingest(spark: SparkSession, source_dir: str, target_path: str, checkpoint: str,
-               max_files_per_trigger: int = 1, transform=None, dead_path: str | None = None) -> None:
+               max_files_per_trigger: int = 1, transform=None, dead_path: str | None = None,
+               parsers: Parsers = PARSERS) -> None:
     """Drain ``source_dir`` into the upserted document table at ``target_path``.
 
     Every message of a batch is decoded and routed once: those that give no document go, with
@@ -41,10 +43,10 @@ def run_ingest(spark: SparkSession, source_dir: str, target_path: str, checkpoin
     dead_path = dead_path or f"{target_path.rstrip('/')}-dead"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        routed = route_messages(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        routed = route_messages(batch, parsers=parsers).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             write_batch(rejected(routed), dead_path, batch_id, checkpoint)
-            docs = accepted(routed)
+            docs = accepted(routed, parsers)
             upsert_parquet(spark, docs if transform is None else transform(docs), target_path, key="doc_id", order="seq",
                            batch_id=batch_id, writer=checkpoint)
         finally:
