@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import HIGH_ENTROPY, NETWORK_PATTERN, has_pattern
 from ..functions.timeparse import epoch_seconds, parse_iso
-from .carry import last_before, previous
+from .carry import carry, last_before, place, previous
 from .incidents import incident_events, incident_groups, severity_from_flags, severity_rank
 from .ranking import exact_rank
 
@@ -148,6 +148,26 @@ def shared_credentials_sliding(host_docs: DataFrame, window_minutes: int = 1440,
     return g.filter(F.col("hosts") >= min_hosts)
 
 
+def shared_credentials_exact(host_docs: DataFrame, window_minutes: int = 1440) -> DataFrame:
+    """D6, exact: each use of a credential with the latest earlier use on another host, where that is at most
+    ``window_minutes`` before. A credential has uses on two hosts within the window exactly if a row is returned.
+
+    Uses are ordered by (time, host, id). The latest earlier use on another host is the one before the
+    current run of uses on one host: it is carried from the run's first row, over ranges, so a credential
+    in constant use is split over tasks. A null host counts as a host; uses without a time are left out."""
+    d = host_docs.filter(F.col("attributes.user_id").isNotNull() & F.col("event_time").isNotNull()).select(
+        "doc_id", F.col("attributes.user_id").alias("user_id"), F.col("attributes.host_name").alias("host"),
+        F.unix_micros("event_time").alias("t_us"))
+    placed = place(d, ["user_id"], ["t_us", "host", "doc_id"])
+    before = carry(placed, F.struct("doc_id", "host", "t_us"), "before")
+    starts = F.col("before").isNotNull() & ~F.col("before.host").eqNullSafe(F.col("host"))
+    other = carry(before, F.when(starts, F.col("before")), "other", inclusive=True)
+    near = other.filter(F.col("t_us") - F.col("other.t_us") <= window_minutes * 60_000_000)
+    return near.select("doc_id", "user_id", "host", F.col("other.doc_id").alias("other_id"),
+                       F.col("other.host").alias("other_host"),
+                       F.round((F.col("t_us") - F.col("other.t_us")) / 1e6, 3).alias("seconds"))
+
+
 def exec_after_write(host_docs: DataFrame, keys: dict[str, Column], minutes: int = 5) -> DataFrame:
     """D7, second half: each execution with the last write of the same key in the
     ``minutes`` before it. A write is put into its time bucket and the next one, so

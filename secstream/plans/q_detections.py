@@ -197,6 +197,18 @@ def shared_credential_sliding(spark, sf_dir):
     return D.shared_credentials_sliding(docs, 1440, 60, 2)
 
 
+@register("shared_credential_exact", with_docs("""
+SELECT e.doc_id, e.user_id, e.host, w.doc_id AS other_id, w.host AS other_host, round((e.t_us - w.t_us) / 1e6, 3) AS seconds
+FROM uses e JOIN uses w ON e.user_id = w.user_id AND e.host <> w.host
+  AND (w.t_us < e.t_us OR (w.t_us = e.t_us AND w.host < e.host)) AND e.t_us - w.t_us <= 86400000000
+QUALIFY row_number() OVER (PARTITION BY e.doc_id ORDER BY w.t_us DESC, w.host DESC, w.doc_id DESC) = 1""", f"""
+uses AS (SELECT doc_id, user_id, host_name AS host, epoch_us(event_ts) AS t_us FROM docs
+         WHERE {_HOST} AND user_id IS NOT NULL AND event_ts IS NOT NULL)"""))
+def shared_credential_exact(spark, sf_dir):
+    """Every use of a credential at most 24 hours after one on another host, with the latest such use."""
+    return D.shared_credentials_exact(event_docs(spark, sf_dir).filter(F.col("log_attribute").isNull()), 1440)
+
+
 @register("exec_after_write", with_docs(f"""
 SELECT exec_id, write_id, host, round(seconds, 3) AS seconds FROM (
   SELECT e.doc_id AS exec_id, w.doc_id AS write_id, e.host_name AS host, e.epoch - w.epoch AS seconds,

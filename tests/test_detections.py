@@ -81,3 +81,32 @@ def test_exact_quantiles_with_ties_and_a_null_key(spark):
            .collect()}
     side = sorted(float(i // 4) for i in range(0, 40, 2))
     assert got == {"k": (side[9], side[18]), None: (side[9], side[18])}
+
+
+def test_credential_exactly_a_day_apart(spark):
+    df = frame(spark, [("a", "x", "2024-01-01 00:50:00", "h1", "p", 5, 1, 0),
+                       ("b", "x", "2024-01-02 00:10:00", "h2", "p", 5, 1, 0),
+                       ("c", "x", "2024-01-03 00:10:00", "h2", "p", 5, 1, 0),
+                       ("d", "x", "2024-01-03 00:10:00", None, "p", 5, 1, 0),
+                       ("e", "x", "2024-01-04 00:10:00.000001", "h1", "p", 5, 1, 0),
+                       ("f", "x", None, "h1", "p", 5, 1, 0), ("g", "x", "2024-01-01 00:50:00", "h9", "p", None, 1, 0)])
+    got = {(r["doc_id"], r["other_id"], r["seconds"]) for r in D.shared_credentials_exact(df).collect()}
+    # the null host sorts before h2, so c follows d at one instant; e is a microsecond too late
+    assert got == {("b", "a", 84000.0), ("d", "b", 86400.0), ("c", "d", 0.0)}
+
+
+def test_credential_uses_against_brute_force(spark):
+    import random
+    rng = random.Random(3)
+    rows = [(f"d{i:03}", "x", f"2024-01-{1 + rng.randrange(9):02} {rng.randrange(24):02}:00:00", f"h{rng.randrange(3)}", "p",
+             rng.choice([1, 1, 1, 2]), 1, 0) for i in range(150)]
+    expected = {}
+    for e in rows:
+        earlier = [w for w in rows if w[5] == e[5] and w[3] != e[3] and (w[2], w[3], w[0]) < (e[2], e[3], e[0])]
+        if earlier:
+            best = max(earlier, key=lambda w: (w[2], w[3], w[0]))
+            hours = (int(e[2][8:10]) - int(best[2][8:10])) * 24 + int(e[2][11:13]) - int(best[2][11:13])
+            if hours <= 24:
+                expected[e[0]] = (best[0], hours * 3600.0)
+    got = {r["doc_id"]: (r["other_id"], r["seconds"]) for r in D.shared_credentials_exact(frame(spark, rows)).collect()}
+    assert got == expected
