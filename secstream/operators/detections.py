@@ -1,7 +1,7 @@
 """Detection jobs described in prose by the reference.
 
-Each is a plain DataFrame job. Windows are partitioned by a host/user key and
-are sort-based (they stream and spill; frames are bounded by time ranges);
+Each is a plain DataFrame job. Windows are partitioned by time cells of a
+key, or values are carried over ranges (``carry``), where a key may hold a large share of the rows;
 interval joins get an equi key by expanding time buckets on one side, so no
 cross join is ever planned.
 """
@@ -51,15 +51,6 @@ def forensics(spark, path: str, as_of: str, days: int, event_name: str = "execve
         .filter(F.col("event_time").between(start, end))
 
 
-def rolling_trend(df: DataFrame, key: str, x: Column, y: Column, width: int) -> DataFrame:
-    """D3: slope and R² of y over x in a trailing range window of ``width``."""
-    w = Window.partitionBy(key).orderBy("_x").rangeBetween(-int(width), 0)
-    d = df.withColumn("_x", x).withColumn("_y", y)
-    return d.withColumn("n", F.count(F.lit(1)).over(w)) \
-        .withColumn("slope", F.regr_slope("_y", "_x").over(w)).withColumn("r2", F.regr_r2("_y", "_x").over(w)) \
-        .drop("_x", "_y")
-
-
 def base_domain(q: Column) -> Column:
     return F.regexp_extract(F.coalesce(q, F.lit("")), r"([^.]+\.[^.]+)$", 1)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import detections as D
+from ..operators.rolling import HOUR, rolling_trend
 from ..operators.similarity import top_k_similar
 from ..session import checkpoint_dir
 from ..sources.tables import read_table
@@ -47,8 +48,8 @@ SELECT event_id, n, round(slope, 4) AS slope, round(r2, 4) AS r2 FROM (
 def rolling_slope(spark, sf_dir):
     """D3: trailing 24-hour slope and R² of each user's value (memory-guard style)."""
     ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "ts", "value")
-    x = (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) - F.lit(1704067200)) / F.lit(3600.0)
-    out = D.rolling_trend(ev, "user_id", x, F.col("value"), 24)
+    out = rolling_trend(ev, "user_id", F.unix_micros(F.col("ts").cast("timestamp")), F.col("value"), 24 * HOUR, "event_id",
+                        unit=HOUR)
     return out.select("event_id", "n", F.round("slope", 4).alias("slope"), F.round("r2", 4).alias("r2"))
 
 
