@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, shared_folder, text_slices
+from .common import LOWER, UPPER, PlainNames, one_row, shared_folder, text_slices
 
 WINDOW = 32
 MASK = np.uint32((1 << 10) - 1)
@@ -170,9 +170,11 @@ def drop_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of equal texts the one with the largest ``doc_id``.
 
     Of rows that also agree in ``doc_id`` the largest by all columns stays.
-    Copies are reduced inside each task before anything is shuffled.
+    Copies are reduced inside each task before anything is shuffled. Other columns may have any
+    name and a type with plain field names (``common.one_row`` orders those without an order).
     """
-    rows = with_identity(df, with_recipes(df, text), text)
-    row = F.struct("doc_id", *(c for c in df.columns if c != "doc_id"))
-    kept = rows.groupBy("__identity").agg(F.max(row).alias("__kept"))
-    return kept.select(*(F.col("__kept").getField(c).alias(c) for c in df.columns))
+    names = PlainNames(df, {"doc_id": "doc_id", text: "text"})
+    df = names.rows
+    rows = with_identity(df, with_recipes(df, "text"), "text")
+    kept = rows.groupBy("__identity").agg(one_row(df, df.columns, "doc_id", "max").alias("__kept"))
+    return names.back(kept.select(*(F.col("__kept").getField(c).alias(c) for c in df.columns)))

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -42,6 +43,41 @@ def shared_folder(spark: SparkSession) -> None:
     checkpoint_dir(spark)
 
 
+class PlainNames:
+    """The rows of a table under names that no operator uses inside.
+
+    ``kept`` maps the columns an operator reads to the names it reads them by; every other column
+    becomes ``column<i>``. ``back`` gives rows their own names again, in the table's order. So an
+    extra column may have any name or type, also ``__size`` or one with a dot.
+    """
+
+    def __init__(self, df: DataFrame, kept: dict[str, str]):
+        self.names = [(c, kept.get(c, f"column{i}")) for i, c in enumerate(df.columns)]
+        self.rows = df.select(*(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in self.names))
+
+    def back(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.col(n).alias(c) for c, n in self.names))
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def one_row(df: DataFrame, columns: list[str], first: str, pick: str) -> Column:
+    """An aggregate: the ``min`` or ``max`` row by ``first``, then by all other columns in order;
+    columns without an order (maps) are compared last, by their JSON text."""
+    order = [first, *(c for c in columns if c != first and _orderable(df.schema[c].dataType))]
+    other = [c for c in columns if c not in order]
+    if not other:
+        return (F.min if pick == "min" else F.max)(F.struct(*order))
+    key = F.struct(*order, *(F.to_json(F.struct(c)).alias(f"json_{i}") for i, c in enumerate(other)))
+    return (F.min_by if pick == "min" else F.max_by)(F.struct(*columns), key)
+
+
 def text_slices(batches: Iterable[pa.RecordBatch], column: str,
                 max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into row slices of bounded text volume (one row at least)."""

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, shared_folder
+from .common import WORD_PATTERN, PlainNames, shared_folder
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -146,13 +146,17 @@ def mix_plan(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mix(df: DataFrame, text: str = "text") -> DataFrame:
-    """The mixed corpus: every row as often as its copies are taken, with the columns of ``df``."""
+    """The mixed corpus: every row as often as its copies are taken, with the columns of ``df``.
+
+    Whole rows are shuffled once, to meet their place in the queue. Other columns may have any name
+    and type; an empty table gives an empty one.
+    """
     shared_folder(df.sparkSession)
-    narrow = with_size(df.select("doc_id", "source", F.col(text).alias("text"))).drop("text").checkpoint()
+    names = PlainNames(df, {"doc_id": "doc_id", "source": "source", text: "text"})
+    narrow = with_size(names.rows.select("doc_id", "source", "text")).drop("text").checkpoint()
     targets = source_targets(narrow).checkpoint()
     rows = with_finish(narrow, targets).checkpoint()
     cut = queue_cut(rows)
-    whole = with_repeats(with_finish(with_size(df, text), targets), cut)
-    return (whole.where(F.col("__copies") > 0)
-            .select(*df.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
-            .drop("__copy"))
+    whole = with_repeats(with_finish(with_size(names.rows), targets), cut)
+    return names.back(whole.where(F.col("__copies") > 0)
+                      .select("*", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")))

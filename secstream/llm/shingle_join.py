@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix64, shared_folder, split_words, text_slices
+from .common import PlainNames, hash_words, mix64, one_row, shared_folder, split_words, text_slices
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -519,10 +519,15 @@ def near_duplicate_groups(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_one_of_each(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` without near copies: of each component the smallest row by id, then by all columns."""
+    """The rows of ``df`` without near copies: of each component the smallest row by id, then by all columns.
+
+    Other columns may have any name and a type with plain field names (``common.one_row`` orders those without an order).
+    """
     shared_folder(df.sparkSession)
-    docs = _keyed(df, text)
-    rows = with_vertices(df, text)
+    names = PlainNames(df, {"doc_id": "doc_id", text: "text"})
+    df = names.rows
+    docs = _keyed(df, "text")
+    rows = with_vertices(df, "text")
     sized = with_vertices(docs, "text", ("__key",)).checkpoint()
     comps = linked_components(docs, sized)
     classes = (sized.where(F.col("__vertex").isNotNull()).groupBy("__vertex").agg(F.count(F.lit(1)).alias("__rows"))
@@ -530,7 +535,7 @@ def keep_one_of_each(df: DataFrame, text: str = "text") -> DataFrame:
     crowded = (classes.where(F.col("component").isNotNull() | (F.col("__rows") > 1))
                .select("__vertex", F.coalesce("component", "__vertex").alias("__component"))).checkpoint()
     placed = rows.join(_small(crowded), "__vertex", "left")
-    row = F.struct("doc_id", *(c for c in df.columns if c != "doc_id"))
-    chosen = (placed.where(F.col("__component").isNotNull()).groupBy("__component").agg(F.min(row).alias("__kept"))
+    chosen = (placed.where(F.col("__component").isNotNull()).groupBy("__component")
+              .agg(one_row(df, df.columns, "doc_id", "min").alias("__kept"))
               .select(*(F.col("__kept").getField(c).alias(c) for c in df.columns)))
-    return placed.where(F.col("__component").isNull()).select(*df.columns).unionByName(chosen)
+    return names.back(placed.where(F.col("__component").isNull()).select(*df.columns).unionByName(chosen))
