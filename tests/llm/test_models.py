@@ -20,51 +20,96 @@ def no_labels(spark):
     return spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
 
 
-def test_language_model_against_brute_force(spark, monkeypatch):
+class PlainAutomaton:
+    """The model as a dictionary of states, walked token by token; ``None`` is the end of a text."""
+
+    def __init__(self, training):
+        self.tokens = [w for t in training for w in t]
+        count = Counter(self.tokens)
+        total, kinds = len(self.tokens), len(count)
+        self.root = lambda w: (count[w] + 0.5) / (total + 0.5 * (kinds + 1))
+        seen = {}
+        for t in training:
+            for i in range(1, len(t)):
+                for size in range(1, min(i, 2) + 1):
+                    seen.setdefault(tuple(t[i - size:i]), Counter())[t[i]] += 1
+        self.states = {(w,) for w in count} | {h for h in seen if len(h) == 2} | {
+            (a, b) for t in training for a, b in zip(t, t[1:])} | {()}
+        self.arcs, self.failure = {}, {}
+        for h in sorted(seen, key=len):
+            mass, whole = backoff_lm.PRIOR[len(h) - 1], sum(seen[h].values())
+            self.failure[h] = mass / (whole + mass)
+            for w, c in seen[h].items():
+                self.arcs[h, w] = c / (whole + mass) + self.failure[h] * self.weight(h[1:], w)
+
+    def weight(self, state, w):
+        if not state:
+            return self.root(w)
+        return self.arcs[state, w] if (state, w) in self.arcs else self.failure.get(state, 1.0) * self.weight(state[1:], w)
+
+    def score(self, text):
+        state, score = (), 0.0
+        for w in text:
+            score += math.log10(self.weight(state, w))
+            state = (*state, w)[-2:]
+            while state not in self.states:
+                state = state[1:]
+        return score
+
+
+def test_language_model_against_a_plain_automaton(spark, monkeypatch):
     monkeypatch.setattr(backoff_lm, "BLOCK_BYTES", 300)
-    monkeypatch.setattr(backoff_lm, "BUCKET_WORDS", 20)
+    monkeypatch.setattr(backoff_lm, "BUCKET_BYTES", 100)
     rng = random.Random(2)
-    rows = [(100 + i, " ".join(rng.choice(["a", "B", "cc", "dd.", "e"]) for _ in range(rng.randrange(60))), "en", "a") for i in range(60)]
+    rows = [(100 + i, " ".join(rng.choice(["a", "B", "cc", "dd.", "e", f"n{i}"]) for _ in range(rng.randrange(60))), "en", "a")
+            for i in range(60)]
     docs = awkward(spark).unionByName(documents(spark, rows)).repartition(3)
     got = backoff_lm.score_texts(docs, id_remainder(F.col("doc_id"), 5) == 1).collect()
     tokens = [(r.doc_id, [w for w in re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOW))] + [None]) for r in docs.collect()]
-    one, two = Counter(), Counter()
-    for i, t in tokens:
-        if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1:
-            one.update(t)
-            two.update(zip(t, t[1:]))
-    n, v = sum(one.values()), len(one)
-    want = []
-    for i, t in tokens:
-        base = score = 0.0
-        state = None
-        for w in t:
-            p = (one[w] + 0.5) / (n + 0.5 * (v + 1))
-            base += math.log10(p)
-            if state is not None and one[state]:
-                b = 1 / (1 + one[state] ** (1 - backoff_lm.HEAPS))
-                p = (1 - b) * two[state, w] / one[state] + b * p
-            score += math.log10(p)
-            state = w
-        want.append((i, zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1, len(t), sum(one[w] > 0 for w in t), n,
-                     round(base, 4), round(score, 4)))
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in tokens}
+    model = PlainAutomaton([t for i, t in tokens if not held[i]])
+    one = Counter(model.tokens)
+    want = [(i, held[i], len(t), sum(one[w] > 0 for w in t), len(model.tokens),
+             round(sum(math.log10(model.root(w)) for w in t), 4), round(model.score(t), 4)) for i, t in tokens]
     rounded = [(*tuple(r)[:5], round(r.base_score, 4), round(r.score, 4)) for r in got]
     assert sorted(map(repr, rounded)) == sorted(map(repr, want))
 
 
+def test_language_model_awkward_tables(spark):
+    held_out = id_remainder(F.col("doc_id"), 5) == 1
+    assert backoff_lm.score_texts(documents(spark, []), held_out).count() == 0
+    odd = named_like_internals(awkward(spark))
+    scores = backoff_lm.score_texts(odd, held_out).collect()
+    assert len(scores) == odd.count()
+    untrained = backoff_lm.score_texts(awkward(spark), F.lit(True)).collect()
+    assert all(r.train_tokens == r.n_known == 0 and r.score == r.base_score == 0 for r in untrained)
+    # one very long text beside short ones, and the order in which the rows come
+    rows = [(1, "x y z " * 20_000, "en", "a"), (2, "x y", "en", "a"), (3, "x y", "en", "a")]
+    one = backoff_lm.score_texts(documents(spark, rows).coalesce(1), F.lit(False))
+    two = backoff_lm.score_texts(documents(spark, rows[::-1]).repartition(3), F.lit(False))
+    assert [tuple(r)[:5] for r in one.orderBy("doc_id").collect()] == [tuple(r)[:5] for r in two.orderBy("doc_id").collect()]
+
+
 def test_language_model_probabilities_sum_to_one():
-    texts = pa.array(["a b a c", "a a b", "b c a b"])
-    block = backoff_lm.read_block(texts)
-    block.find_pairs()
-    counts = block.training_counts(np.ones(3, bool))
-    n, v = int(counts[:len(block.hashes)].sum()), len(block.hashes)
-    model = backoff_lm.Automaton(block, counts, n, v)
-    unseen = 0.5 / (n + 0.5 * (v + 1))
-    for h in range(len(block.hashes) - 1):
-        failure = 1 / (1 + counts[h] ** (1 - backoff_lm.HEAPS))
-        arcs = {s: p for f, s, p in zip(block.first, block.second, model.arc, strict=True) if f == h}
-        total = sum(arcs.get(w, failure * model.root[w]) for w in range(v)) + failure * unseen
-        assert abs(total - 1) < 1e-9
+    texts = [t.split() + [None] for t in ["a b a c", "a a b", "b c a b", "a b a b"]]
+    model = PlainAutomaton(texts)
+    kinds, unseen = set(model.tokens), "never seen"
+    for state in model.states:
+        if None not in state:
+            assert abs(sum(model.weight(state, w) for w in kinds) + model.weight(state, unseen) - 1) < 1e-9
+
+
+def test_language_model_packing():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 999):
+        counts = rng.choice([0, 1, 14, 15, 16, 254, 255, 256, 1 << 40], n)
+        assert (backoff_lm._unpack_counts(backoff_lm._pack_counts(counts), n) == counts).all()
+        codes = rng.choice([0, 65534, 65535, 65536, 1 << 31], n)
+        assert (backoff_lm._unpack_codes(backoff_lm._pack_codes(codes), n) == codes).all()
+        hashes = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64, endpoint=True))
+        assert (backoff_lm._unpack_steps(backoff_lm._pack_steps(hashes), len(hashes)) == hashes).all()
+        cuts = backoff_lm._range_cuts(hashes, 64, 70_000)  # more ranges than 16 bits tell apart
+        assert len(cuts) == 70_001 and cuts[0] == 0 and cuts[-1] == len(hashes) and (np.diff(cuts) >= 0).all()
 
 
 def test_quality_held_out_accuracy_and_awkward_rows(spark):
