@@ -71,9 +71,10 @@ class Block:
         pairs = mix64(np.append(tokens[:1], tokens[:-1]) * MULTIPLIERS[0] + tokens)
         triples = mix64(np.append(pairs[:1], pairs[:-1]) * MULTIPLIERS[1] + tokens)
         found = np.concatenate((pairs[has_pair], triples[has_triple])) >> np.uint64(64 - NGRAM_BITS)
+        del tokens, pairs, triples
         self.names, place = np.unique(found, return_inverse=True)
         cut = int(has_pair.sum())
-        self.pair, self.triple = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        self.pair, self.triple = np.zeros(len(codes), np.int32), np.zeros(len(codes), np.int32)
         self.pair[has_pair], self.triple[has_triple] = place[:cut], place[cut:]
         self.word_order = np.argsort(self.hashes)
 
@@ -110,25 +111,6 @@ def read_block(texts: pa.Array) -> Block:
     return Block(rank[with_ends], np.concatenate(([0], ends + 1)), np.append(hash_words(words), END_HASH)[order])
 
 
-def _pack_steps(ordered: np.ndarray) -> bytes:
-    """Sorted numbers: the first in 8 bytes, then steps of as many bytes as the largest step needs."""
-    if not len(ordered):
-        return b""
-    steps = np.diff(ordered).astype("<u8")
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return int(ordered[0]).to_bytes(8, "little") + bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpack_steps(packed: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint64)
-    width = packed[8]
-    steps = np.zeros((n, 8), np.uint8)
-    steps[0] = np.frombuffer(packed, np.uint8, 8)
-    steps[1:, :width] = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
-    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
-
-
 def _pack_counts(counts: np.ndarray) -> bytes:
     """Counts as half bytes; 15 stands for a larger one, which follows as a byte, 255 for one that follows as 8."""
     low = np.minimum(counts, 15).astype(np.uint8)
@@ -152,6 +134,30 @@ def _unpack_counts(packed: bytes, n: int) -> np.ndarray:
     return counts
 
 
+def _pack_steps(ordered: np.ndarray) -> bytes:
+    """Sorted numbers: the first in 8 bytes, then the low bytes of the steps and their high parts as counts."""
+    if not len(ordered):
+        return b""
+    steps = np.diff(ordered)
+    mean = int(ordered[-1] - ordered[0]) // max(len(steps), 1)
+    low = min((mean.bit_length() + 4) // 8, 7)  # most high parts fit half a byte
+    return (int(ordered[0]).to_bytes(8, "little") + bytes([low])
+            + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :low].tobytes()
+            + _pack_counts((steps >> np.uint64(8 * low)).astype(np.int64)))
+
+
+def _unpack_steps(packed: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint64)
+    low, end = packed[8], 9 + packed[8] * (n - 1)
+    steps = np.zeros((n, 8), np.uint8)
+    steps[0] = np.frombuffer(packed, np.uint8, 8)
+    steps[1:, :low] = np.frombuffer(packed, np.uint8, low * (n - 1), 9).reshape(n - 1, low)
+    steps = steps.view("<u8").ravel()
+    steps[1:] += _unpack_counts(packed[end:], n - 1).astype(np.uint64) << np.uint64(8 * low)
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _pack_codes(codes: np.ndarray) -> bytes:
     """Word numbers as 2 bytes; 65535 stands for a larger one, which follows as 4."""
     return np.minimum(codes, 65535).astype("<u2").tobytes() + codes[codes >= 65535].astype("<u4").tobytes()

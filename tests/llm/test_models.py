@@ -108,6 +108,8 @@ def test_language_model_packing():
         assert (backoff_lm._unpack_codes(backoff_lm._pack_codes(codes), n) == codes).all()
         hashes = np.unique(rng.integers(0, 2**64 - 1, n, np.uint64, endpoint=True))
         assert (backoff_lm._unpack_steps(backoff_lm._pack_steps(hashes), len(hashes)) == hashes).all()
+        near = np.cumsum(rng.choice([1, 255, 256, 1 << 33], n), dtype=np.uint64)
+        assert (backoff_lm._unpack_steps(backoff_lm._pack_steps(near), n) == near).all()
         cuts = backoff_lm._range_cuts(hashes, 64, 70_000)  # more ranges than 16 bits tell apart
         assert len(cuts) == 70_001 and cuts[0] == 0 and cuts[-1] == len(hashes) and (np.diff(cuts) >= 0).all()
 
