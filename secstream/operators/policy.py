@@ -115,7 +115,8 @@ def decide(requests: DataFrame, messages: DataFrame, request_col: str = "conv_id
                       decision.alias("decision"), F.lit(model).alias("model"))
 
 
-def audit_rows(decisions: DataFrame, caller_col: str = "caller_id", time_col: str = "request_ts") -> DataFrame:
+def audit_rows(decisions: DataFrame, caller_col: str = "caller_id", time_col: str = "request_ts",
+               keep: tuple[str, ...] = ()) -> DataFrame:
     """G-4/G-5: metadata-only audit rows (no text column can reach them).
     Rate-limited and invalid requests are not audited. The model call itself
     is not made here, so forwarded rows carry the token estimate, 0 response
@@ -130,16 +131,17 @@ def audit_rows(decisions: DataFrame, caller_col: str = "caller_id", time_col: st
         blocked.alias("blocked_pii"),
         F.when(blocked, F.col("pii_types")).otherwise(F.array().cast("array<string>")).alias("pii_types"),
         F.when(blocked, F.lit(False)).otherwise(F.lit(None).cast("boolean")).alias("success"),
-        F.col(time_col).alias("_t"),
+        F.col(time_col).alias("_t"), *keep,
     )
 
 
-def audit_tail(audit: DataFrame, limit: int = 100, time_col: str = "_t") -> DataFrame:
-    """Newest ``limit`` entries (1..1000), returned oldest first."""
+def audit_tail(audit: DataFrame, limit: int = 100, time_col: str = "_t", id_col: str | None = None) -> DataFrame:
+    """Newest ``limit`` entries (1..1000), returned oldest first; of one caller and instant by request id."""
     if not 1 <= limit <= AUDIT_RING:
         raise ValueError(f"limit must be 1..{AUDIT_RING}")
-    newest = audit.orderBy(F.col(time_col).desc(), F.col("caller_id").desc()).limit(limit)
-    return newest.orderBy(F.col(time_col), F.col("caller_id"))
+    order = [time_col, "caller_id", *([id_col] if id_col else [])]
+    newest = audit.orderBy(*(F.col(c).desc() for c in order)).limit(limit)
+    return newest.orderBy(*order)
 
 
 _MATCH_FIELDS = [

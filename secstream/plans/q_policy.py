@@ -241,9 +241,9 @@ def gateway_audit(spark, sf_dir):
 
 
 @register("audit_tail", _GW_SQL + f""",
-audit AS ({_AUDIT_SELECT.replace("SELECT ", "SELECT request_ts AS _t, ", 1)})
-SELECT ts_utc, caller_id, blocked_pii, prompt_tokens FROM audit ORDER BY _t DESC, caller_id DESC LIMIT 25""")
+audit AS ({_AUDIT_SELECT.replace("SELECT ", "SELECT request_ts AS _t, conv_id, ", 1)})
+SELECT ts_utc, caller_id, blocked_pii, prompt_tokens FROM audit ORDER BY _t DESC, caller_id DESC, conv_id DESC LIMIT 25""")
 def audit_tail(spark, sf_dir):
     """The newest 25 audit entries (returned oldest first)."""
-    tail = P.audit_tail(P.audit_rows(_decisions(spark, sf_dir)), 25)
+    tail = P.audit_tail(P.audit_rows(_decisions(spark, sf_dir), keep=("conv_id",)), 25, id_col="conv_id")
     return tail.select("ts_utc", "caller_id", "blocked_pii", "prompt_tokens")

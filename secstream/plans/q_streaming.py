@@ -17,6 +17,7 @@ from ..session import checkpoint_dir
 from ..sources import envelope
 from ..sources.driver_events import raw_events
 from ..sources.tables import read_table
+from ..streaming.audit import request_bodies, run_audit
 from ..streaming.incidents import UNTIMED, read_groups, read_kept, run_incident_stream
 from ..streaming.ingest import MESSAGE_SCHEMA, message_stream, read_dead_letters, run_ingest
 from ..streaming.ratelimit import ROWS_PER_TRIGGER, rate_limit_stream
@@ -25,6 +26,7 @@ from .registry import ORACLES, register
 from .sql_events import ENRICHED_COLUMNS, with_docs
 
 BATCHES, FILES_PER_BATCH = 4, 4
+REQUESTS_PER_TRIGGER = 50_000
 
 
 def _scratch(spark, name: str) -> str:
@@ -151,3 +153,22 @@ def stream_rate_limit(spark, sf_dir):
     res = spark.read.parquet(f"{base}/out")
     return res.select("id", "caller", "allowed", F.round("available", 6).alias("available"),
                       F.round("tokens", 6).alias("tokens"))
+
+
+def _request_stream(spark, source: str, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(source)
+
+
+@register("stream_audit", ORACLES["gateway_audit"])
+def stream_audit(spark, sf_dir):
+    """T6 + G-3..G-5: chat requests streamed in the order they came, at most ``REQUESTS_PER_TRIGGER`` a
+    micro-batch, into the append-only audit; equals the batch audit."""
+    base = _scratch(spark, "audit")
+    messages, requests = q_policy._requests(spark, sf_dir)
+    bodies = request_bodies(requests, messages)
+    _write_pieces(bodies, base, "request_ts", REQUESTS_PER_TRIGGER)
+    run_audit(spark, _request_stream(spark, f"{base}/src", bodies.schema), f"{base}/audit", f"{base}/ckpt",
+              q_policy.GW_RATE_PER_MINUTE, q_policy.GW_BURST)
+    a = spark.read.parquet(f"{base}/audit")
+    return a.select("ts_utc", "caller_id", "model", "prompt_tokens", "response_tokens", "latency_ms",
+                    "blocked_pii", F.array_join("pii_types", ",").alias("pii_types"), "success")

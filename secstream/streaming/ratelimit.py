@@ -33,13 +33,15 @@ STATE = T.StructType([T.StructField("tokens", T.DoubleType()), T.StructField("la
 
 
 def rate_limit_stream(calls: DataFrame, caller_col: str, time_col: str, id_col: str,
-                      rate_per_minute: float, burst: float) -> DataFrame:
+                      rate_per_minute: float, burst: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A decision for every call; columns of ``keep`` are carried to the output."""
     rate_per_sec = rate_per_minute / 60.0
     slim = calls.select(F.col(id_col).cast("bigint").alias("id"), F.col(caller_col).cast("string").alias("caller"),
-                        F.unix_micros(F.col(time_col).cast("timestamp")).alias("t_us"))
+                        F.unix_micros(F.col(time_col).cast("timestamp")).alias("t_us"), *keep)
+    output = T.StructType([*OUTPUT.fields, *(slim.schema[c] for c in keep)])
 
     def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        batch = pd.concat([p[["id", "t_us"]] for p in pdfs], ignore_index=True).sort_values(["t_us", "id"], kind="stable")
+        batch = pd.concat([p[["id", "t_us", *keep]] for p in pdfs], ignore_index=True).sort_values(["t_us", "id"], kind="stable")
         caller = key[0]
         carried = None
         if state.exists:
@@ -50,8 +52,8 @@ def rate_limit_stream(calls: DataFrame, caller_col: str, time_col: str, id_col:
             allowed, before, after, carried = bucket_walk(np.full(len(part), caller, dtype=object),
                                                           part["t_us"].to_numpy(), rate_per_sec, burst, carried)
             yield pd.DataFrame({"id": part["id"].to_numpy(), "caller": caller, "allowed": allowed,
-                                "available": before, "tokens": after})
+                                "available": before, "tokens": after, **{c: part[c].to_numpy() for c in keep}})
         state.update((float(carried["tokens"]), int(carried["last"])))
 
-    return slim.groupBy("caller").applyInPandasWithState(step, OUTPUT, STATE, "append",
+    return slim.groupBy("caller").applyInPandasWithState(step, output, STATE, "append",
                                                          GroupStateTimeout.NoTimeout)
