@@ -56,3 +56,52 @@ def test_exact_rank_plan_has_no_single_partition_window(spark):
     df = spark.range(100).withColumn("g", F.col("id") % 2)
     plan = exact_rank(df, ["g"], ["id"], "r")._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan.lower()
+
+
+def test_topk_of_many_copies_holds_k_answers_a_query():
+    from secstream.operators.similarity import best_columns
+    scores = np.zeros((3, 10_000))
+    scores[1, 7] = 1.0
+    scores[2, :9_999] = -np.inf
+    rows, cols = best_columns(scores, 3)
+    assert sorted(zip(rows.tolist(), cols.tolist())) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 7), (2, 9_999)]
+
+
+def test_best_columns_match_a_sort():
+    from secstream.operators.similarity import best_columns
+    rng = np.random.default_rng(3)
+    for n, k, steps in ((5, 9, 3), (100, 2, 50), (700, 3, 4), (700, 3, 10_000), (3_000, 20, 900)):
+        scores = rng.integers(0, steps, (40, n)).astype(float)
+        scores[rng.random(scores.shape) < 0.05] = -np.inf
+        want = [(r, c) for r in range(40) for c in sorted(range(n), key=lambda c: (-scores[r, c], c))[:k]
+                if np.isfinite(scores[r, c])]
+        rows, cols = best_columns(scores, k)
+        assert sorted(zip(rows.tolist(), cols.tolist())) == sorted(want)
+
+
+def test_packed_vectors_are_short_and_whole():
+    import pytest
+
+    from secstream.operators.similarity import pack_vector, unpack_vectors
+    sparse, dense = np.zeros(384, np.float32), np.arange(384, dtype=np.float32)
+    sparse[[3, 380]] = 0.1, np.nan
+    packed = [pack_vector(v) for v in (sparse, dense)]
+    assert len(packed[0]) < 20 and len(packed[1]) == 1 + 4 * 384
+    np.testing.assert_array_equal(unpack_vectors(packed, "float32"), np.vstack([sparse, dense]).astype(np.float64))
+    with pytest.raises(ValueError, match="lengths"):
+        unpack_vectors([packed[0], pack_vector(dense[:5])], "float32")
+
+
+def test_query_blocks_follow_packed_bytes(spark, monkeypatch):
+    from secstream.operators import similarity as S
+    rng = np.random.default_rng(4)
+    vecs = rng.integers(0, 2, (60, 6)).astype(np.float32)  # many exact ties
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, embedding array<float>")
+
+    def answers():
+        return sorted(map(tuple, S.top_k_similar(df, df, 5, "id", "id", "embedding", metric="euclidean").collect()))
+
+    one = answers()
+    for name, value in (("QUERY_BLOCK_BYTES", 100), ("LEAST_QUERY_ROWS", 7), ("DEFAULT_ROWS_PER_BLOCK", 13)):
+        monkeypatch.setattr(S, name, value)
+    assert answers() == one and len(one) == 300
