@@ -11,7 +11,7 @@ stopping needs no second fit.
 
 Gradients are summed as integers (``QUANTUM`` steps a unit), so a tree does not
 depend on how the rows lie in tasks. That makes the other way exact too: a
-training set of at most ``IN_TASK_ROWS`` rows (a few megabytes when binned) is
+training set of at most ``IN_TASK_ROWS`` rows (some 40 bytes each when binned) is
 broadcast, and a model is grown by one task with the same functions. The
 parameter sets of a search are then the rows of one job, one task each.
 
@@ -44,8 +44,9 @@ from .ranking import running_sums
 BINS = 256
 QUANTUM = 1 << 20
 MIN_GAIN = 1e-6
-#: Rows (training and validation) up to which a model is grown inside one task.
-IN_TASK_ROWS = 200_000
+#: Rows (training and validation) up to which a model is grown inside one task: some 40 bytes a row are
+#: broadcast, some 200 held while a tree grows.
+IN_TASK_ROWS = 2_000_000
 ROUNDS_A_CHECKPOINT = 16
 PATIENCE = 30
 
@@ -117,16 +118,18 @@ def gradients(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np
     return np.rint(weight * (p - y) * QUANTUM), np.rint(weight * p * (1 - p) * QUANTUM)
 
 
-def histogram(bins: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Sums by (node, feature, bin) of the rows whose ``node`` is not negative; last axis G, H, as integers."""
+def histogram(bins: np.ndarray, node: np.ndarray, nodes: int, g: np.ndarray, h: np.ndarray,
+              columns: list[int] | None = None) -> np.ndarray:
+    """Sums by (node, feature, bin) of the rows whose ``node`` is not negative; last axis G, H, as integers.
+    Features other than ``columns`` are left at 0."""
     rows = np.flatnonzero(node >= 0)
     features = bins.shape[1]
     out = np.zeros((nodes, features, BINS, 2), np.int64)
-    at = node[rows] * BINS
-    for f in range(features):
-        place = at + bins[rows, f]
-        for k, v in enumerate((g, h)):
-            out[:, f, :, k] = np.bincount(place, v[rows], nodes * BINS).reshape(nodes, BINS).astype(np.int64)
+    at, bins, sums = node[rows] * BINS, bins[rows], (g[rows], h[rows])
+    for f in range(features) if columns is None else columns:
+        place = at + bins[:, f]
+        for k, v in enumerate(sums):
+            out[:, f, :, k] = np.bincount(place, v, nodes * BINS).reshape(nodes, BINS).astype(np.int64)
     return out
 
 
@@ -227,26 +230,41 @@ def stopping_round(scores: list[float], patience: int = PATIENCE) -> tuple[int,
 # ---- inside one task --------------------------------------------------------------------------------------------
 
 
+def alike(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal rows, and the number of every row's set."""
+    flat = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1) for c in columns], axis=1)
+    return np.unique(flat.view(np.dtype((np.void, flat.shape[1]))).ravel(), return_index=True, return_inverse=True)[1:]
+
+
 def fit_rows(bins: np.ndarray, y: np.ndarray, weight: np.ndarray, key: np.ndarray, val: np.ndarray, params: dict,
              max_rounds: int, patience: int, seed: int) -> tuple[list[Tree], list[float]]:
-    """Boosting over rows held in memory; ``val`` marks the validation rows."""
+    """Boosting over rows held in memory; ``val`` marks the validation rows. Rows with the same bins, label and
+    weight have the same gradients: they are drawn each by its own key, and added up as a count."""
     v_bins, v_y = bins[val], y[val]
     bins, y, weight, key = (x[~val] for x in (bins, y, weight, key))
+    if len(y):
+        first, number_of = alike(bins, y, weight)
+        bins, y, weight = bins[first], y[first], weight[first]
     margin, v_margin = np.zeros(len(y)), np.zeros(len(v_y))
     trees: list[Tree] = []
     scores: list[float] = []
     for number in range(max_rounds):
-        g, h = gradients(margin, y, weight)
         drawn = row_draw(key, seed * 1_000_003 + number) < params["subsample"]
+        times = np.bincount(number_of[drawn], minlength=len(y)) if len(y) else np.zeros(0)
+        g, h = (x * times for x in gradients(margin, y, weight))
+        columns = tree_columns(params, bins.shape[1], seed, number)
+        at = np.zeros(len(y), np.int64)
 
         def level_sums(tree: Tree, nodes: list[int]) -> np.ndarray:
+            nonlocal at
+            at = tree.step(at, bins)  # the tree is one level deeper than at the last call
             place = np.full(len(tree.feature), -1)
             place[nodes] = np.arange(len(nodes))
-            return histogram(bins, np.where(drawn, place[tree.leaves(bins)], -1), len(nodes), g, h)
+            return histogram(bins, np.where(times > 0, place[at], -1), len(nodes), g, h, columns)
 
-        tree = grow(level_sums, params, tree_columns(params, bins.shape[1], seed, number))
+        tree = grow(level_sums, params, columns)
         trees.append(tree)
-        margin += tree.margins(bins)
+        margin += tree.value[tree.step(at, bins)]
         v_margin += tree.margins(v_bins)
         scores.append(pr_area(v_margin, v_y))
         if stopping_round(scores, patience)[1] is not None:
