@@ -36,6 +36,7 @@ from .common import hash_words, labelled_sample, segment_sums, split_words, text
 
 SAMPLE_ROWS = 6_000
 LEAST_TEXTS = 3
+TEXTS_AT_ONCE = 250
 START_BIAS = -6.0
 START = 0.3
 EPOCHS = 60
@@ -123,6 +124,23 @@ class ToxicityModel:
         return np.clip(-np.expm1(clean), 0.0, 1.0)
 
 
+def text_counts(bags: Bags, labels: np.ndarray, texts: np.ndarray, number: np.ndarray, features: int,
+                at_once: int = TEXTS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """Texts and labelled texts that hold each feature. The pairs of text and feature are laid out for ``at_once``
+    texts at a time, so they take no more memory for a larger sample."""
+    seen, toxic = np.zeros(features, np.int64), np.zeros(features)
+    for start in range(0, len(labels), at_once):
+        lo, hi = np.searchsorted(texts, (start, start + at_once))
+        codes = bags.codes[bags.word_bounds[lo]:bags.word_bounds[hi]]
+        text_of = np.repeat(texts[lo:hi], np.diff(bags.word_bounds[lo:hi + 1]))
+        text_of, word_of = np.divmod(np.unique(text_of * max(len(number), 1) + codes), max(len(number), 1))
+        pairs = np.unique((text_of[:, None] * max(features, 1) + number[word_of]).ravel())
+        text_of, feature_of = np.divmod(pairs, max(features, 1))
+        seen += np.bincount(feature_of, minlength=features)
+        toxic += np.bincount(feature_of, weights=labels[text_of], minlength=features)
+    return seen, toxic
+
+
 def train(bags: Bags, labels: np.ndarray, epochs: int = EPOCHS) -> ToxicityModel:
     """Fit feature weights to text labels by the noisy-or likelihood."""
     n_words, kinds = bags.features.shape
@@ -130,12 +148,7 @@ def train(bags: Bags, labels: np.ndarray, epochs: int = EPOCHS) -> ToxicityModel
     sentence = np.repeat(np.arange(len(texts)), np.diff(bags.word_bounds))
     features, number = np.unique(bags.features, return_inverse=True)
     number = number.reshape(bags.features.shape)
-    pairs = np.unique(texts[sentence] * max(n_words, 1) + bags.codes)
-    text_of, word_of = np.divmod(pairs, max(n_words, 1))
-    pairs = np.unique((text_of[:, None] * max(len(features), 1) + number[word_of]).ravel())
-    text_of, feature_of = np.divmod(pairs, max(len(features), 1))
-    seen = np.bincount(feature_of, minlength=len(features))
-    toxic = np.bincount(feature_of, weights=labels[text_of], minlength=len(features))
+    seen, toxic = text_counts(bags, labels, texts, number, len(features))
     known = (seen >= LEAST_TEXTS) & (features != 0)
     positives, negatives = max(labels.sum(), 1.0), max(len(labels) - labels.sum(), 1.0)
     odds = np.log((toxic + 0.5) / (positives + 1)) - np.log((seen - toxic + 0.5) / (negatives + 1))

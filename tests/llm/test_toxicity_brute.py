@@ -110,3 +110,20 @@ def test_held_out_recall_and_area(spark):
     assert len(toxic) > 50 and np.mean(np.array(toxic) >= 0.5) > 0.7 and np.mean(np.array(clean) >= 0.5) < 0.01
     ranks = np.searchsorted(np.sort(clean), toxic, "left") + np.searchsorted(np.sort(clean), toxic, "right")
     assert ranks.mean() / 2 / len(clean) > 0.95
+
+
+def test_text_counts_do_not_depend_on_the_texts_at_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from secstream.llm import mil_toxicity as M
+    bags = M.read_bags(pa.array(["bad words here. bad again", "", None, "good words\nbad", "here here"]))
+    labels = np.array([1.0, 0.0, 1.0, 0.0, 1.0])
+    features, number = np.unique(bags.features, return_inverse=True)
+    number = number.reshape(bags.features.shape)
+    texts = np.repeat(np.arange(5), np.diff(bags.sentence_bounds))
+    seen, toxic = M.text_counts(bags, labels, texts, number, len(features), 100)
+    for n in (1, 2, 3):
+        np.testing.assert_array_equal(M.text_counts(bags, labels, texts, number, len(features), n), (seen, toxic))
+    at = np.searchsorted(features, M.word_features(pa.array(["bad", "here"]))[:, 0])
+    assert seen[at].tolist() == [2, 2] and toxic[at].tolist() == [1.0, 2.0]
