@@ -44,10 +44,10 @@ GROUP BY doc_id""")
 def ingest_dedup(spark, sf_dir):
     """The suspicious rows are delivered twice (an at-least-once replay);
     the upsert key collapses them to one document per id."""
-    docs = _message_docs(spark, sf_dir)
-    first = docs.withColumn("delivery", F.lit(0))
-    replay = docs.filter(F.col("labels.sus") == 1).withColumn("delivery", F.lit(1))
-    delivered = first.unionByName(replay)
+    docs = _message_docs(spark, sf_dir).select("doc_id", "event_id", "log_type", "timestamp", F.col("labels.sus").alias("sus"))
+    # a row a delivery by a flat-map: a union of two readings would decode every message twice
+    times = F.when(F.col("sus") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    delivered = docs.withColumn("delivery", F.explode(times))
     out = latest_per_key(delivered.select("doc_id", "event_id", "log_type", "timestamp", "delivery"),
                          "doc_id", "delivery", count_as="deliveries")
     return out.select("doc_id", "event_id", "log_type", "timestamp", "deliveries")

@@ -25,6 +25,7 @@ from . import q_incidents, q_ingest, q_policy
 from .registry import ORACLES, register
 from .sql_events import ENRICHED_COLUMNS, with_docs
 
+#: Micro-batches of a replay, and the least files of one.
 BATCHES, FILES_PER_BATCH = 4, 4
 REQUESTS_PER_TRIGGER = 50_000
 
@@ -33,15 +34,24 @@ def _scratch(spark, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
+def _batch_files(spark) -> int:
+    """Files of a micro-batch: one a core, so that no core waits while a batch is read."""
+    return max(FILES_PER_BATCH, spark.sparkContext.defaultParallelism)
+
+
 def _write_in_order(df, path: str, order_col: str, batches: int = BATCHES) -> None:
-    """Write one group of ``FILES_PER_BATCH`` files per range of ``order_col``,
-    so a file source replays the ranges in order. Rows without a value come first."""
-    bounds = df.agg(F.min(order_col), F.max(order_col)).first()
+    """Write one group of files per range of ``order_col``, so a file source replays the
+    ranges in order. Rows without a value come first. ``df`` is worked out once, into a folder beside ``path``."""
+    spark = df.sparkSession
+    once = f"{path}-rows-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(once)
+    rows = spark.read.schema(df.schema).parquet(once)
+    bounds = rows.agg(F.min(order_col), F.max(order_col)).first()
     lo, hi = bounds[0] or 0, bounds[1] or 0
     step = (hi - lo) // batches + 1
     number = F.coalesce(F.floor((F.col(order_col) - lo) / step).cast("int"), F.lit(0))
     for i in range(batches):
-        df.filter(number == i).repartition(FILES_PER_BATCH).write.mode("append").parquet(path)
+        rows.filter(number == i).repartition(_batch_files(spark)).write.mode("append").parquet(path)
 
 
 def _write_pieces(df, base: str, order_col: str, rows: int) -> None:
@@ -56,7 +66,7 @@ def _write_pieces(df, base: str, order_col: str, rows: int) -> None:
         .write.partitionBy("piece").parquet(f"{base}/pieces")
     for i in range(-(-total // size)):
         part = df.sparkSession.read.schema(df.schema).parquet(f"{base}/pieces/piece={i}")
-        part.repartition(FILES_PER_BATCH).write.mode("append").parquet(f"{base}/src")
+        part.repartition(_batch_files(df.sparkSession)).write.mode("append").parquet(f"{base}/src")
 
 
 def _messages(spark, sf_dir, replay: bool):
@@ -74,7 +84,7 @@ def stream_ingest(spark, sf_dir):
     micro-batches into the upserted document table; equals the batch result."""
     base = _scratch(spark, "ingest")
     _write_in_order(_messages(spark, sf_dir, replay=True), f"{base}/src", "seq")
-    run_ingest(spark, f"{base}/src", f"{base}/docs", f"{base}/ckpt", FILES_PER_BATCH)
+    run_ingest(spark, f"{base}/src", f"{base}/docs", f"{base}/ckpt", _batch_files(spark))
     return flat_documents(read_upserted(spark, f"{base}/docs")).select(*ENRICHED_COLUMNS)
 
 
@@ -83,7 +93,7 @@ def _damaged_stream(spark, sf_dir) -> str:
     base = _scratch(spark, "damaged")
     m = q_ingest._damaged_messages(spark, sf_dir).withColumn("seq", F.col("event_id"))
     _write_in_order(m.select(*[f.name for f in MESSAGE_SCHEMA.fields]), f"{base}/src", "seq")
-    run_ingest(spark, f"{base}/src", f"{base}/docs", f"{base}/ckpt", FILES_PER_BATCH)
+    run_ingest(spark, f"{base}/src", f"{base}/docs", f"{base}/ckpt", _batch_files(spark))
     return f"{base}/docs"
 
 
@@ -117,10 +127,10 @@ def _incident_stream(spark, sf_dir) -> str:
     untimed = F.col("event_id") % UNTIMED_EVERY == 7
     m = m.withColumn("value", F.when(untimed, F.regexp_replace(
         "value", '("[Tt]imestamp":)"[^"]*"', '$1"some time"')).otherwise(F.col("value")))
-    last = m.agg(F.max("seq")).first()[0]
+    last = (read_table(spark, sf_dir, "events", "event_id").agg(F.max("event_id")).first()[0] or 0) * 2
     m = m.withColumn("arrival", F.when(F.col("event_id") % LATE_EVERY == 3, F.lit(last)).otherwise(F.col("seq")))
     _write_in_order(m, f"{base}/src", "arrival")
-    docs = enrich_messages(message_stream(spark, f"{base}/src", FILES_PER_BATCH))
+    docs = enrich_messages(message_stream(spark, f"{base}/src", _batch_files(spark)))
     run_incident_stream(spark, docs, f"{base}/incidents", f"{base}/ckpt", q_incidents.WINDOW, "1 day")
     return f"{base}/incidents"
 
@@ -145,7 +155,7 @@ def stream_rate_limit(spark, sf_dir):
     base = _scratch(spark, "ratelimit")
     calls = read_table(spark, sf_dir, "events", "event_id", "user_id", "ts")
     _write_pieces(calls, base, "event_id", ROWS_PER_TRIGGER)
-    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(f"{base}/src")
+    stream = spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", _batch_files(spark)).parquet(f"{base}/src")
     out = rate_limit_stream(stream, "user_id", "ts", "event_id", q_policy.RL_RATE_PER_MINUTE, q_policy.RL_BURST)
     q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
          .outputMode("append").trigger(availableNow=True).start())
@@ -156,7 +166,7 @@ def stream_rate_limit(spark, sf_dir):
 
 
 def _request_stream(spark, source: str, schema):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(source)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", _batch_files(spark)).parquet(source)
 
 
 @register("stream_audit", ORACLES["gateway_audit"])
