@@ -37,9 +37,10 @@ DEFAULT_BURST = 10.0
 
 
 def bucket_walk(callers: np.ndarray, micros: np.ndarray, rate_per_sec: float, burst: float,
-                state: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
+                state: dict | None = None, levels: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
     """Walk calls already sorted by (caller, time). Returns allowed, level
-    before the call (T4), level after, and the carried state of the last caller."""
+    before the call (T4), level after, and the carried state of the last caller.
+    ``levels`` holds the (tokens, last) with which known callers start; others start full."""
     n = len(callers)
     allowed = np.zeros(n, dtype=bool)
     before = np.zeros(n, dtype=np.float64)
@@ -47,11 +48,13 @@ def bucket_walk(callers: np.ndarray, micros: np.ndarray, rate_per_sec: float, bu
     cur = state.get("caller") if state else None
     tokens = state.get("tokens", burst) if state else burst
     last = state.get("last", 0) if state else 0
+    levels = levels or {}
     for i in range(n):
         c = callers[i]
         t = int(micros[i])
         if c != cur:
-            cur, tokens, last = c, float(burst), t
+            cur = c
+            tokens, last = levels.get(c, (float(burst), t))
         elapsed = max(t - last, 0) / 1e6
         tokens = min(burst, tokens + elapsed * rate_per_sec)
         last = max(last, t)

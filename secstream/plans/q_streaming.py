@@ -150,7 +150,7 @@ def stream_untimed(spark, sf_dir):
 
 @register("stream_rate_limit", ORACLES["rate_limit"])
 def stream_rate_limit(spark, sf_dir):
-    """T3 + T4: the token bucket as keyed state across micro-batches of at most
+    """T3 + T4: the token bucket as state of groups of callers across micro-batches of at most
     ``ROWS_PER_TRIGGER`` calls; equals the batch walk."""
     base = _scratch(spark, "ratelimit")
     calls = read_table(spark, sf_dir, "events", "event_id", "user_id", "ts")
