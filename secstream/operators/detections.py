@@ -8,6 +8,7 @@ cross join is ever planned.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -302,13 +303,16 @@ def span_breakdown(parents: DataFrame, children: DataFrame, key: str, duration:
 def leakage_classifier(texts: DataFrame, text_col: str, label_col: str, dim: int = 1 << 12, seed: int = 42):
     """A text classifier for prompt leakage: tokens + hashed term
     frequencies + logistic regression (MLlib, distributed training).
-    Returns the fitted pipeline model."""
-    from pyspark.ml import Pipeline
+    Returns the fitted pipeline model. The regression reads its rows twice before it
+    keeps blocks of them, so labels and frequencies are worked out once, onto disk."""
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF, RegexTokenizer
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\s+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim),
-        LogisticRegression(featuresCol="_tf", labelCol=label_col, maxIter=50, regParam=0.01),
-    ])
-    return pipe.fit(texts)
+    tokens = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\s+", toLowercase=True)
+    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
+    regression = LogisticRegression(featuresCol="_tf", labelCol=label_col, maxIter=50, regParam=0.01)
+    rows = tf.transform(tokens.transform(texts)).select("_tf", label_col).persist(StorageLevel.DISK_ONLY)
+    try:
+        return PipelineModel([tokens, tf, regression.fit(rows)])
+    finally:
+        rows.unpersist()

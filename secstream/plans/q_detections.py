@@ -352,13 +352,15 @@ def span_breakdown(spark, sf_dir):
 def leakage_classifier(spark, sf_dir):
     """Logistic regression on hashed tokens of conversation turns, labelled
     by the PII/secret scan (a learned leakage detector); scores every turn
-    (rows-only)."""
+    (rows-only). The texts are spread over all tasks before they are searched,
+    however few row groups their files have."""
     from pyspark.ml.functions import vector_to_array
 
     from ..functions import pii
-    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    train = conv.select("text").unionByName(docs.select("text")).withColumn(
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text").repartition(tasks)
+    docs = read_table(spark, sf_dir, "documents", "text").repartition(tasks)
+    train = conv.select("text").unionByName(docs).withColumn(
         "leak", (~pii.is_clean(F.col("text"))).cast("double"))
     model = D.leakage_classifier(train, "text", "leak")
     scored = model.transform(conv.withColumn("leak", (~pii.is_clean(F.col("text"))).cast("double")))
