@@ -55,7 +55,7 @@ def borderline_smote(df: DataFrame, id_col: str, label: str, feature_cols: list[
     nn = top_k_similar(minority, pts, m, "id", "id", "v", exclude_self=True, metric="euclidean")
     nn = nn.join(pts.select(F.col("id").alias("neighbor_id"), F.col("y").alias("ny")), "neighbor_id")
     danger = (nn.groupBy("id").agg(F.count_if(F.col("ny") == 0).alias("n_maj"))
-              .filter((F.col("n_maj") >= m / 2.0) & (F.col("n_maj") < m)).select("id"))
+              .filter((F.col("n_maj") >= m / 2.0) & (F.col("n_maj") < m)).select("id").persist())  # every search is run once
     n_danger = danger.count()
     if n_danger == 0:
         return base
@@ -70,12 +70,12 @@ def borderline_smote(df: DataFrame, id_col: str, label: str, feature_cols: list[
         .withColumn("u_gap", _u01(F.col("id"), F.col("s"), F.lit(seed), F.lit(3))) \
         .withColumn("to_minority", F.col("u_side") < 0.5) \
         .withColumn("pick", (F.floor(F.col("u_pick") * k) + 1).cast("int"))
-    dmin = danger.join(minority, "id")
+    dmin = danger.join(minority, "id").persist()
     nn_min = top_k_similar(dmin, minority, k, "id", "id", "v", exclude_self=True, metric="euclidean") \
         .select("id", F.col("rank").alias("pick"), "neighbor_id", F.lit(True).alias("to_minority"))
     nn_maj = top_k_similar(dmin, majority, k, "id", "id", "v", metric="euclidean") \
         .select("id", F.col("rank").alias("pick"), "neighbor_id", F.lit(False).alias("to_minority"))
-    neigh = nn_min.unionByName(nn_maj)
+    neigh = nn_min.unionByName(nn_maj).persist()
     # fewer than k neighbours can exist: fall back to the last available rank
     avail = neigh.groupBy("id", "to_minority").agg(F.max("pick").alias("maxpick"))
     s2 = samples.join(avail, ["id", "to_minority"]).withColumn("pick", F.least("pick", "maxpick"))
